@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, urls
+from . import chat, decontamination, jaccard, mixing, sharding, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mix": mixing.op3_mix,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op8_url_filter": urls.op8_url_filter,
     "op10_chat_format": chat.op10_chat_format,
 }
 ORACLES = {
     "op3_mix": mixing.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
     "op8_url_filter": urls.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }
