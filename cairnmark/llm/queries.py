@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html_text, jaccard, mixing, sharding, toxicity, urls
+from . import chat, decontamination, html_text, jaccard, media, mixing, sharding, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_html_text": html_text.op2_html_text,
     "op3_mix": mixing.op3_mix,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_media": media.op5_media,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_url_filter": urls.op8_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chat_format": chat.op10_chat_format,
