@@ -63,8 +63,7 @@ def encode_column(data: Column, base: str = "base64url") -> Column:
     if base.startswith("base16"):
         text = F.hex(data) if base == "base16upper" else F.lower(F.hex(data))
     elif base.startswith("base64"):
-        text = F.base64(data)
-        text = F.translate(text, "+/", "-_") if "url" in base else text
+        text = F.translate(F.base64(data), "+/\r\n", "-_" if "url" in base else "+/")  # Spark breaks lines
         text = text if base.endswith("pad") else F.rtrim(text, F.lit("="))
     else:
 

@@ -1,42 +1,508 @@
-"""Registered queries of the engine's own operators, with the equivalent SQL."""
+"""Registered queries of the engine's own operators over the driver's tables, with the equivalent SQL.
+
+How the tables are read: documents.source is a module and documents.text a part; events are a log of heads (per user)
+or of calls (func = event_type); lineitem rows are candidates (function = order, group = part, callee = supplier); the
+foreign keys region < nation < customer < orders are links.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cairnmark.functions import multibase, names, node
+from cairnmark.operators import analytics, graph, memo, resolve
+from cairnmark.session import table
+from cairnmark.sources.store import latest
+from cairnmark.streaming import queue
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def _sql(name: str, tables: str, spark_sql: str, oracle: str | None = None) -> None:
-    """Register a query whose Spark plan is the given SQL over the named tables."""
+def _sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    """Register a query that is one declarative plan; tables are written {name} in both texts."""
+    used = [t for t in _TABLES if "{" + t + "}" in spark_sql]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(spark_sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()})
+        return spark.sql(spark_sql, **{t: table(spark, sf_dir, t) for t in used})
 
     QUERIES[name] = run
-    text = oracle or spark_sql
-    for t in tables.split():
-        text = text.replace("{" + t + "}", t)
-    ORACLES[name] = text
-
-
-_sql(
-    "module_sharing", "documents",
-    """
-    WITH p AS (SELECT source AS module, sha2(text, 256) AS part FROM {documents}),
-    c AS (SELECT part, count(*) AS copies, count(DISTINCT module) AS modules FROM p GROUP BY part)
-    SELECT p.module, count(*) AS num_parts, count(DISTINCT p.part) AS num_unique_parts,
-           count(DISTINCT CASE WHEN c.modules > 1 THEN p.part END) AS num_shared_parts,
-           CAST(sum(c.copies) AS BIGINT) AS total_copies
-    FROM p JOIN c ON p.part = c.part GROUP BY p.module
-    """,
-    """
-    WITH p AS (SELECT source AS module, sha256(text) AS part FROM {documents}),
-    c AS (SELECT part, count(*) AS copies, count(DISTINCT module) AS modules FROM p GROUP BY part)
-    SELECT p.module, count(*) AS num_parts, count(DISTINCT p.part) AS num_unique_parts,
-           count(DISTINCT CASE WHEN c.modules > 1 THEN p.part END) AS num_shared_parts,
-           CAST(sum(c.copies) AS BIGINT) AS total_copies
-    FROM p JOIN c ON p.part = c.part GROUP BY p.module
-    """,
-)
+    ORACLES[name] = re.sub(r"\{(\w+)\}", r"\1", oracle or spark_sql)
+
+
+def _query(oracle: str | None = None):
+    """Register a query that goes through operators of the package."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+# --- parts, modules, store ---
+
+_SHARE = """
+WITH p AS (SELECT source AS module, {H} AS part FROM {documents}),
+c AS (SELECT part, count(*) AS copies, count(DISTINCT module) AS modules FROM p GROUP BY part)
+SELECT p.module, count(*) AS num_parts, count(DISTINCT p.part) AS num_unique_parts,
+       count(DISTINCT CASE WHEN c.modules > 1 THEN p.part END) AS num_shared_parts, CAST(sum(c.copies) AS BIGINT) AS total_copies
+FROM p JOIN c ON p.part = c.part GROUP BY p.module"""
+_SHA = ("sha2(text, 256)", "sha256(text)")
+
+
+def _hashed(name: str, text: str) -> None:
+    _sql(name, text.replace("{H}", _SHA[0]), text.replace("{H}", _SHA[1]))
+
+
+_hashed("module_sharing", _SHARE)
+_hashed("node_put_dedup", "SELECT {H} AS cid, count(*) AS copies, min(doc_id) AS first_doc FROM {documents} GROUP BY 1")
+_hashed("part_copies", "SELECT source AS module, {H} AS part, count(*) AS copies FROM {documents} GROUP BY 1, 2")
+_sql("list_modules", "SELECT DISTINCT source AS module FROM {documents}")
+_hashed("list_module_parts", "SELECT source AS module, doc_id AS name, {H} AS part FROM {documents}")
+_hashed("list_all_parts", "SELECT DISTINCT {H} AS part FROM {documents}")
+_hashed("get_part_by_id", "SELECT {H} AS part, min(text) AS text FROM {documents} WHERE doc_id % 100 = 7 GROUP BY 1")
+_sql("rejoin_module", "SELECT source AS module, sha2(array_join(transform(array_sort(collect_list(struct(doc_id, text))), x -> x.text), ''), 256) AS whole FROM {documents} GROUP BY 1",
+     "SELECT source AS module, sha256(string_agg(text, '' ORDER BY doc_id)) AS whole FROM {documents} GROUP BY 1")
+_hashed("melt_parts", "SELECT {H} AS part, min(source) AS first_module, count(DISTINCT source) AS modules FROM {documents} GROUP BY 1")
+
+
+@_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def head_latest(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("seq"))
+    return latest(log, ["user_id"]).select("user_id", "event_id", "event_type")
+
+
+@_query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def head_delete(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("seq"))
+    return latest(log, ["user_id"]).filter("event_type <> 'error'").select("user_id", "event_id")
+
+
+_CALLS = "SELECT event_type AS func, user_id AS arg, max(event_id) AS result FROM {events} GROUP BY 1, 2"
+_sql("call_latest", _CALLS)
+_sql("list_funcs", "SELECT DISTINCT event_type AS func FROM {events}")
+_sql("list_calls", f"SELECT * FROM ({_CALLS}) WHERE func = 'click'")
+_sql("call_invalidate", f"SELECT * FROM ({_CALLS}) WHERE func <> 'click'")
+_sql("names_using", """
+SELECT 'customer' AS kind, c_custkey AS id FROM {customer} WHERE c_nationkey = 7
+UNION ALL SELECT 'supplier', s_suppkey FROM {supplier} WHERE s_nationkey = 7
+UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM {nation} WHERE n_nationkey = 7""")
+_sql("has_blocks", "SELECT p_partkey FROM {part} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey)")
+_sql("garbage_parts", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey)")
+_sql("copy_head", "SELECT 'copy' AS name, max(event_id) AS cid FROM {events} WHERE user_id = 1")
+
+# --- memo ---
+
+_REQ, _CACHED = ["l_partkey", "l_suppkey"], "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1"
+
+
+def _requests(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.filter("l_linenumber <> 1").select(*_REQ), li.filter("l_linenumber = 1").select(*_REQ)
+
+
+@_query(f"SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 1 AND (l_partkey, l_suppkey) IN ({_CACHED})")
+def memo_hits(spark, sf_dir):
+    return memo.hits(*_requests(spark, sf_dir), _REQ)
+
+
+@_query(f"SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber <> 1 AND (l_partkey, l_suppkey) NOT IN ({_CACHED})")
+def memo_misses(spark, sf_dir):
+    return memo.misses(*_requests(spark, sf_dir), _REQ)
+
+
+_sql("pending_dedupe", "SELECT l_partkey, l_suppkey, count(*) AS asked FROM {lineitem} GROUP BY 1, 2")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'status=' || o_orderstatus ELSE '' END || CASE WHEN o_orderpriority <> '5-LOW' THEN ';priority=' || o_orderpriority ELSE '' END AS cache_key FROM orders")
+def option_key(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    options = F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")
+    kept = memo.normalized_options(options, {"status": "O", "priority": "5-LOW"})
+    text = lambda k: F.try_element_at(kept, F.lit(k))
+    return o.select("o_orderkey", F.concat(F.coalesce(F.concat(F.lit("status="), text("status")), F.lit("")), F.coalesce(F.concat(F.lit(";priority="), text("priority")), F.lit(""))).alias("cache_key"))
+
+
+@_query("SELECT c_custkey, c_custkey + c_nationkey AS total FROM customer")
+def call_add(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", (F.col("c_custkey") + F.col("c_nationkey")).alias("total"))
+
+
+@_query("SELECT 7 AS n, 40 AS solutions")
+def call_nqueens(spark, sf_dir):
+    return memo.queens(spark, 7).select(F.lit(7).alias("n"), F.col("solutions").cast("int").alias("solutions"))
+
+
+@_query("SELECT * FROM (VALUES (0, 3, 4), (1, 4, 6), (2, 2, 7), (3, 3, 61)) t(m, n, result)")
+def call_ackermann(spark, sf_dir):
+    args = spark.createDataFrame([(0, 3), (1, 4), (2, 2), (3, 3)], "m int, n int")
+
+    @F.pandas_udf("int")
+    def run(m, n):
+        import pandas as pd
+
+        return pd.Series([memo.ackermann(a, b) for a, b in zip(m, n, strict=True)])
+
+    return args.select("m", "n", run("m", "n").alias("result"))
+
+
+# --- navigation, graphs ---
+
+
+@_query("""
+SELECT '/region/' || r_name || '/nation/' || n_name || '/customer/' || CAST(c_custkey AS VARCHAR) AS path, c_custkey FROM customer
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def paths_to(spark, sf_dir):
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    node_of = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
+    edges = n.select(node_of("r", "n_regionkey").alias("src"), node_of("n", "n_nationkey").alias("dst"), F.concat(F.lit("/nation/"), "n_name").alias("step"))
+    edges = edges.unionByName(c.select(node_of("n", "c_nationkey").alias("src"), node_of("c", "c_custkey").alias("dst"), F.concat(F.lit("/customer/"), F.col("c_custkey").cast("string")).alias("step")))
+    roots = r.select(node_of("r", "r_regionkey").alias("node"), F.concat(F.lit("/region/"), "r_name").alias("root"))
+    found = graph.paths_to(edges, c.select(node_of("c", "c_custkey").alias("node")), roots)
+    return found.select(F.concat("root", F.array_join("steps", "")).alias("path"), F.split("target", ":")[1].cast("long").alias("c_custkey"))
+
+
+_EDGES = """SELECT 'o' || CAST(o_orderkey AS STRING) AS src, 'c' || CAST(o_custkey AS STRING) AS dst FROM {orders}
+UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING) FROM {customer}
+UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING) FROM {nation}"""
+
+
+def _edges(spark, sf_dir):
+    return spark.sql(_EDGES, **{t: table(spark, sf_dir, t) for t in ("orders", "customer", "nation")})
+
+
+_EDGES_SQL = re.sub(r"\{(\w+)\}", r"\1", _EDGES).replace("STRING", "VARCHAR")
+_REACH = f"""WITH RECURSIVE e AS ({_EDGES_SQL}), r(node) AS (
+SELECT 'o' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r"""
+
+
+@_query(_REACH)
+def closure(spark, sf_dir):
+    roots = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
+    return graph.closure(_edges(spark, sf_dir), roots)
+
+
+@_query(f"WITH reach AS ({_REACH}), e AS ({_EDGES_SQL}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT n.node, r.node IS NOT NULL AS flag FROM n LEFT JOIN reach r ON r.node = n.node")
+def fixpoint_flags(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"), F.lit(True).alias("flag"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(urgent, "node", "left").select("node", F.coalesce("flag", F.lit(False)).alias("flag"))
+    return graph.propagate_flags(nodes, edges)
+
+
+@_query("SELECT DISTINCT l_orderkey % 970 AS node, CASE WHEN l_orderkey % 970 % 10 < 5 THEN l_orderkey % 970 - l_orderkey % 970 % 10 ELSE l_orderkey % 970 END AS scc FROM lineitem")
+def scc(spark, sf_dir):
+    # of each ten nodes, five make a ring and lead on to the other five, which make a chain
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 970).alias("a")).distinct()
+    k = F.col("a") % 10
+    nxt = F.when(k == 4, F.col("a") - 4).when(k == 9, F.lit(None)).otherwise(F.col("a") + 1)
+    edges = li.select(F.col("a").alias("src"), nxt.alias("dst")).unionByName(li.filter(k == 4).select(F.col("a").alias("src"), (F.col("a") + 1).alias("dst")))
+    return graph.strong_components(edges.filter("dst IS NOT NULL"))
+
+
+_OPEN, _CLOSE = "chr(123)", "chr(125)"
+_Q = "'\"' || {} || '\"'"
+
+
+def _map_json(**fields: str) -> str:
+    """SQL of the JSON of a map node whose fields are SQL of JSON."""
+    inner = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items())
+    return f"{_OPEN} || '\"map\":' || {_OPEN} || {inner} || {_CLOSE} || {_CLOSE}"
+
+
+_REGION = _map_json(name="'\"' || r_name || '\"'")
+_NATION = _map_json(name="'\"' || n_name || '\"'", region=_REGION)
+_sql("deref_depth0", f"SELECT n_nationkey, {_map_json(name=_Q.format('n_name'), region='CAST(n_regionkey AS VARCHAR(9))')} AS json FROM {{nation}}")
+_sql("deref_depth1", f"SELECT n_nationkey, {_NATION} AS json FROM {{nation}} LEFT JOIN {{region}} ON n_regionkey = r_regionkey")
+_sql("deref_depth2", f"SELECT c_custkey, {_map_json(name=_Q.format('c_name'), nation=_NATION)} AS json FROM {{customer}} LEFT JOIN {{nation}} ON c_nationkey = n_nationkey LEFT JOIN {{region}} ON n_regionkey = r_regionkey")
+_sql("json_props_get", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, coalesce(get_json_object(props, '$.none'), 'absent') AS missing FROM {events}",
+     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.none'), 'absent') AS missing FROM {events}")
+_sql("size_and_empty", "SELECT doc_id, octet_length(text) AS size, octet_length(text) = 0 AS empty FROM {documents}", "SELECT doc_id, strlen(text) AS size, strlen(text) = 0 AS empty FROM {documents}")
+
+# --- candidates ---
+
+_CAND = "SELECT l_orderkey AS func, CAST(l_partkey AS STRING) AS group_key, l_suppkey AS callee, l_linenumber AS callee_size, CAST(l_quantity AS BIGINT) AS caller_savings FROM {lineitem}"
+_CAND_SQL = _CAND.replace("STRING", "VARCHAR").replace("{lineitem}", "lineitem")
+
+
+def _cands(spark, sf_dir):
+    return spark.sql(_CAND, lineitem=table(spark, sf_dir, "lineitem"))
+
+
+_GROUPS = f"SELECT group_key, CAST(sum(caller_savings) AS BIGINT) AS total_caller_savings, min(callee_size) AS min_callee_size, count(*) AS num_members FROM ({_CAND_SQL}) GROUP BY 1"
+
+
+@_query(_GROUPS)
+def grouped_candidates(spark, sf_dir):
+    return analytics.group_candidates(_cands(spark, sf_dir))
+
+
+@_query(f"SELECT * FROM ({_GROUPS}) WHERE total_caller_savings > min_callee_size")
+def worth_extracting(spark, sf_dir):
+    return analytics.worth_extracting(analytics.group_candidates(_cands(spark, sf_dir)))
+
+
+@_query(f"""WITH d AS (SELECT DISTINCT func, group_key, callee FROM ({_CAND_SQL})), n AS (SELECT group_key, callee, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT g.*, u.num_unique_callees, u.num_callees_without_duplicates FROM ({_GROUPS}) g
+JOIN (SELECT group_key, count(*) AS num_unique_callees, count(CASE WHEN n = 1 THEN 1 END) AS num_callees_without_duplicates FROM n GROUP BY 1) u ON u.group_key = g.group_key""")
+def grouped_callees(spark, sf_dir):
+    c = _cands(spark, sf_dir).withColumn("nodes", F.lit(0))
+    return analytics.group_callees(c, analytics.group_candidates(c))
+
+
+_REPORT = """SELECT count(*) AS groups, CAST(sum(num_members) AS BIGINT) AS members, count(CASE WHEN num_members = 1 THEN 1 END) AS singletons,
+count(CASE WHEN total_caller_savings > min_callee_size THEN 1 END) AS profitable_groups,
+CAST(sum(CASE WHEN total_caller_savings > min_callee_size THEN num_members ELSE 0 END) AS BIGINT) AS profitable_members,
+max(num_members) AS largest, {arg} AS largest_group FROM ({groups})"""
+_sql("candidate_report", _REPORT.replace("{groups}", "SELECT group_key, CAST(sum(caller_savings) AS BIGINT) AS total_caller_savings, min(callee_size) AS min_callee_size, count(*) AS num_members FROM (" + _CAND + ") GROUP BY 1").replace("{arg}", "max_by(group_key, struct(num_members, -CAST(group_key AS BIGINT)))"),
+     _REPORT.replace("{groups}", _GROUPS).replace("{arg}", "arg_max(group_key, num_members * 1000000000000 - CAST(group_key AS BIGINT))"))
+_sql("callee_report", "SELECT count(*) AS members, count(DISTINCT struct(l_partkey, l_suppkey)) AS unique_callees FROM {lineitem}", "SELECT count(*) AS members, count(DISTINCT (l_partkey, l_suppkey)) AS unique_callees FROM {lineitem}")
+
+
+@_query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber + l_suppkey % 5 - 2 AS BIGINT) AS callee_size, CAST(l_quantity AS BIGINT) + least(0, l_suppkey % 5 - 2) AS caller_savings FROM lineitem")
+def size_correction(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    actual = F.col("l_linenumber") + F.col("l_suppkey") % 5 - 2
+    return li.select("l_orderkey", "l_linenumber", *analytics.corrected(F.col("l_linenumber"), F.col("l_quantity").cast("long"), actual))
+
+
+@_query("SELECT o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderdate, o_orderkey) - 1) / 64) AS BIGINT) AS batch FROM orders")
+def batches_of_64(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("p", F.col("o_custkey") % 10)
+    return analytics.batches(o, ["p"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("batch").cast("long").alias("batch"))
+
+
+_RUNS = """SELECT k, string_agg(CAST(s AS VARCHAR) || '-' || CAST(e AS VARCHAR), ',' ORDER BY s) AS nodes FROM (
+SELECT k, min(event_id) AS s, max(event_id) + 1 AS e FROM (
+SELECT event_type AS k, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events) GROUP BY k, i) GROUP BY k"""
+
+
+def _runs(spark, sf_dir):
+    return analytics.encode_runs(table(spark, sf_dir, "events").select(F.col("event_type").alias("k"), "event_id"), ["k"], "event_id")
+
+
+@_query(_RUNS)
+def nodeset_encode(spark, sf_dir):
+    ends = F.transform(F.sequence(F.lit(0), (F.size("nodes") / 2 - 1).cast("int")), lambda i: F.concat_ws("-", F.element_at("nodes", 2 * i + 1).cast("string"), F.element_at("nodes", 2 * i + 2).cast("string")))
+    return _runs(spark, sf_dir).select("k", F.array_join(ends, ",").alias("nodes"))
+
+
+@_query("SELECT event_type AS k, event_id AS node FROM events")
+def nodeset_decode(spark, sf_dir):
+    return analytics.decode_runs(_runs(spark, sf_dir)).select("k", "node")
+
+
+_SPAN = "SELECT user_id AS func, event_id AS cand, event_id AS s, event_id + 40 AS e FROM {t} WHERE event_type = 'error'"
+
+
+def _spans(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    return e.select(F.col("user_id").alias("func"), F.col("event_id").alias("cand"), F.array(F.col("event_id"), F.col("event_id") + 40).alias("nodes"),
+                    (F.col("event_id") % 50).alias("callee"), (F.col("event_id") % 7 + 1).alias("callee_size"), (F.col("event_id") % 11).alias("caller_savings"))
+
+
+_PAIRS = f"SELECT a.cand AS a, b.cand AS b FROM ({_SPAN.format(t='events')}) a JOIN ({_SPAN.format(t='events')}) b ON a.func = b.func AND a.cand < b.cand AND b.s < a.e AND a.s < b.e"
+
+
+@_query(_PAIRS)
+def overlap_pairs(spark, sf_dir):
+    return analytics.overlaps(_spans(spark, sf_dir))
+
+
+@_query(f"""WITH p AS ({_PAIRS}), t AS (SELECT a AS cand FROM p UNION SELECT b FROM p),
+c AS (SELECT event_id AS cand, event_id % 50 AS callee, event_id % 7 + 1 AS callee_size, event_id % 11 AS caller_savings FROM events WHERE event_type = 'error'),
+g AS (SELECT callee, CAST(sum(caller_savings) AS BIGINT) AS savings, min(callee_size) AS size, CAST(sum(CASE WHEN t.cand IS NULL THEN caller_savings ELSE 0 END) AS BIGINT) AS free_savings FROM c LEFT JOIN t ON t.cand = c.cand GROUP BY 1)
+SELECT *, savings <= size AS useless, free_savings > size AS always_profitable FROM g""")
+def ilp_presolve(spark, sf_dir):
+    c = _spans(spark, sf_dir)
+    return analytics.presolve(c, analytics.overlaps(c))
+
+
+@_query()
+def greedy_solution(spark, sf_dir):
+    return analytics.greedy_selection(_spans(spark, sf_dir)).select("cand", "func", "callee", "callee_size", "caller_savings")
+
+
+@_query()
+def ilp_problem(spark, sf_dir):
+    c = _spans(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(analytics.selection_program(c, analytics.overlaps(c)).mps())), "line long, text string")
+
+
+_sql("contiguous_windows", """
+SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS reach,
+       max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS stop FROM {orders}""")
+_sql("redundant_rows", """
+SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}) WHERE before IS NULL OR before <> event_type""")
+_sql("lp_terms", "SELECT l_partkey AS var, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS coefficient FROM {lineitem} GROUP BY 1")
+_sql("callee_benefit", """SELECT l_suppkey AS callee, CAST(sum(CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) - min(l_linenumber) AS BIGINT) AS benefit FROM {lineitem} GROUP BY 1""")
+_sql("best_callee", """SELECT callee, benefit FROM (SELECT l_suppkey AS callee, CAST(sum(CAST(l_quantity AS BIGINT)) - min(l_linenumber) AS BIGINT) AS benefit FROM {lineitem} GROUP BY 1) WHERE benefit > 0 ORDER BY benefit DESC, callee LIMIT 1""")
+_sql("outlinable", """SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING count(CASE WHEN l_returnflag = 'R' THEN 1 END) = 0 AND count(*) > 1""")
+_sql("rewritten_callers", """SELECT d.doc_id, coalesce(l.quality, -1) AS replacement FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""")
+
+# --- symbols ---
+
+_DEFS = """SELECT CAST(p_size AS STRING) AS module, 's' || CAST(p_partkey % 1700 AS STRING) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'local' WHEN p_partkey % 3 = 1 THEN 'weak' ELSE 'strong' END AS linkage FROM {part}"""
+_DEFS_SQL = _DEFS.replace("STRING", "VARCHAR").replace("{part}", "part")
+_RF = "SELECT CAST((p_size + 1) % 50 + 1 AS STRING) AS module, CAST(p_partkey AS STRING) AS name, 's' || CAST(p_partkey * 7 % 2300 AS STRING) AS ref FROM {part}"
+_RF_SQL = _RF.replace("STRING", "VARCHAR").replace("{part}", "part")
+
+
+def _symbols(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return spark.sql(_RF, part=p), spark.sql(_DEFS, part=p)
+
+
+_OWN = f"SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM ({_DEFS_SQL}) d WHERE d.module = r.module AND d.name = r.ref) THEN r.module END AS target FROM ({_RF_SQL}) r"
+
+
+@_query(_OWN)
+def resolve_merge(spark, sf_dir):
+    return resolve.resolve_merge(*_symbols(spark, sf_dir))
+
+
+_ONE = f"SELECT name, min(module) AS module FROM ({_DEFS_SQL}) WHERE linkage <> 'local' GROUP BY name HAVING count(*) = 1"
+
+
+@_query(_ONE)
+def resolve_unique(spark, sf_dir):
+    return resolve.unique_globals(_symbols(spark, sf_dir)[1])
+
+
+@_query(f"SELECT o.module, o.name, o.ref, coalesce(o.target, u.module) AS target FROM ({_OWN}) o LEFT JOIN ({_ONE}) u ON u.name = o.ref")
+def resolve_guided(spark, sf_dir):
+    return resolve.resolve_guided(*_symbols(spark, sf_dir))
+
+
+_WEAK = f"SELECT name, min(CASE WHEN linkage = 'strong' THEN module END) AS s, min(CASE WHEN linkage = 'weak' THEN module END) AS w, count(CASE WHEN linkage = 'strong' THEN 1 END) AS n FROM ({_DEFS_SQL}) GROUP BY name"
+
+
+@_query(f"SELECT o.module, o.name, o.ref, coalesce(o.target, d.s, d.w) AS target FROM ({_OWN}) o LEFT JOIN ({_WEAK}) d ON d.name = o.ref WHERE coalesce(d.n, 0) <= 1")
+def resolve_mux(spark, sf_dir):
+    refs, defs = _symbols(spark, sf_dir)
+    clash = defs.filter("linkage = 'strong'").groupBy("name").count().filter("count > 1").select(F.col("name").alias("ref"))
+    return resolve.resolve_mux(refs.join(clash, "ref", "left_anti").select("module", "name", "ref"), defs)
+
+
+_hashed("merge_dedup", "SELECT doc_id, source AS module, first_value(doc_id) OVER (PARTITION BY {H} ORDER BY doc_id) AS kept FROM {documents}")
+
+
+@_query("""WITH k AS (SELECT doc_id, source, sha256(text) AS s FROM documents)
+SELECT source AS module, CAST(doc_id AS VARCHAR) AS name, first_value(source) OVER w AS class_module, first_value(CAST(doc_id AS VARCHAR)) OVER w AS class_name FROM k WINDOW w AS (PARTITION BY s ORDER BY source, CAST(doc_id AS VARCHAR))""")
+def dedupe_up_to_renaming(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("module"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
+    return resolve.dedupe_up_to_renaming(d, spark.createDataFrame([], "module string, name string, ref string"))
+
+
+_sql("symbol_list", "SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM {pages}) WHERE EXISTS (SELECT 1 FROM (VALUES ('www\\\\..*'), ('.*\\\\.example\\\\.org')) g(p) WHERE host RLIKE p)",
+     "SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM {pages}) WHERE regexp_matches(host, 'www\\..*') OR regexp_matches(host, '.*\\.example\\.org')")
+_sql("equivalence_clusters", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha2(lower(regexp_replace(text, '[^A-Za-z]+', '')), 256)) AS class FROM {documents}",
+     "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')))) AS class FROM {documents}")
+
+
+@_query("SELECT class, arg_min(item, size * 1000000000 + item) AS best FROM (SELECT source AS class, doc_id AS item, strlen(text) AS size FROM documents) GROUP BY 1")
+def best_representative(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("class"), F.col("doc_id").alias("item"), F.octet_length("text").alias("size"))
+    return analytics.representatives(d)
+
+
+@_query("SELECT source AS group_key, doc_id AS item, min(doc_id) OVER (PARTITION BY source, sha256(text)) AS class FROM documents")
+def refinements(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("group_key"), F.col("doc_id").alias("item"), F.sha2(F.col("text").cast("binary"), 256).alias("value"))
+    return analytics.refine(d, lambda a, b: a == b, F.col("value"))
+
+
+# --- codecs ---
+
+_NAMES = {"base16": "'f' || lower(hex({b}))", "base16upper": "'F' || upper(hex({b}))", "base64": "'m' || rtrim(to_base64({b}), '=')", "base64pad": "'M' || to_base64({b})", "base64url": "'u' || rtrim(translate(to_base64({b}), '+/', '-_'), '=')", "base64urlpad": "'U' || translate(to_base64({b}), '+/', '-_')"}
+
+
+def _multibase(base: str):
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "benchmark").select("item_id", multibase.encode_column(F.col("text").cast("binary"), base).alias("text"))
+
+    QUERIES[f"multibase_{base}"] = run
+    if base in _NAMES:
+        ORACLES[f"multibase_{base}"] = f"SELECT item_id, {_NAMES[base].format(b='encode(text)')} AS text FROM benchmark"
+
+
+for _b in multibase.BASES:
+    _multibase(_b)
+
+
+@_query("SELECT DISTINCT l_linenumber AS n, 'u' || rtrim(translate(to_base64(unhex('01710001' || printf('%02x', l_linenumber))), '+/', '-_'), '=') AS cid FROM lineitem")
+def cid_identity_small_int(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n")).distinct()
+    return n.select("n", multibase.encode_column(node.block_of_json(F.col("n").cast("string"))["cid"]).alias("cid"))
+
+
+@_query()
+def cid_blake2b(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", node.block_of_text("text").alias("b"))
+    return d.select("doc_id", multibase.encode_column(F.col("b.cid")).alias("cid"), "b.content_type", "b.hash_type", F.octet_length("b.content").alias("n_bytes"))
+
+
+@_query("""SELECT event_id, '{"map":{"type":' || to_json(event_type) || ',"user":' || CAST(user_id AS VARCHAR) || ',"event":' || CAST(event_id AS VARCHAR) || '}}' AS json FROM events WHERE event_id % 20 = 0""")
+def node_json_round_trip(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_id % 20 = 0")
+    text = F.concat(F.lit('{"map":{"event":'), F.col("event_id").cast("string"), F.lit(',"type":'), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}}"))
+    return e.select("event_id", node.block_of_json(text).alias("b")).select("event_id", node.json_of_block("b.cid", "b.content").alias("json"))
+
+
+@_query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages")
+def uri_parse(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.uri_parts(F.col("url")).alias("u")).select("page_id", "u.*")
+
+
+_sql("html_escape", "SELECT page_id, replace(replace(html, '<', '&lt;'), '\"', '&quot;') AS html FROM {pages}")
+_sql("latin1_names", "SELECT n_nationkey, decode(CAST(n_name AS BINARY), 'ISO-8859-1') AS name FROM {nation}", "SELECT n_nationkey, n_name AS name FROM {nation}")
+_sql("value_kinds", "SELECT event_type, count(value) AS floats, count(props) AS strings, count(event_id) AS integers FROM {events} GROUP BY 1")
+
+# --- benchmark rows ---
+
+_STATS = "SELECT event_type AS configuration, user_id % 10 AS benchmark, avg(value) AS mean, stddev_samp(value) AS stdev FROM {events} GROUP BY 1, 2"
+_STATS_SQL = _STATS.replace("{events}", "events")
+_sql("bench_stats", f"SELECT configuration, benchmark, round(mean, 6) AS mean, round(stdev, 6) AS stdev FROM ({_STATS})")
+
+
+@_query(f"""SELECT r.configuration, r.benchmark, round(b.mean / r.mean, 6) AS speedup, round(sqrt(pow(b.stdev / b.mean, 2) + pow(r.stdev / r.mean, 2)) * b.mean / r.mean, 6) AS speedup_stdev
+FROM ({_STATS_SQL}) r JOIN ({_STATS_SQL}) b ON b.benchmark = r.benchmark AND b.configuration = 'click'""")
+def bench_speedup(spark, sf_dir):
+    rows = spark.sql(_STATS, events=table(spark, sf_dir, "events"))
+    return analytics.speedups(rows, "click").select("configuration", "benchmark", F.round("speedup", 6).alias("speedup"), F.round("speedup_stdev", 6).alias("speedup_stdev"))
+
+
+_sql("bench_geomean", f"SELECT r.configuration, round(exp(avg(ln(b.mean / r.mean))), 6) AS geomean FROM ({_STATS}) r JOIN ({_STATS}) b ON b.benchmark = r.benchmark AND b.configuration = 'click' GROUP BY 1")
+
+
+@_query("SELECT user_id % 10 AS benchmark, round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS click, round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS view FROM events GROUP BY 1")
+def bench_pivot(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("benchmark"), "event_type", "value")
+    p = e.groupBy("benchmark").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
+    return p.select("benchmark", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"))
+
+
+_sql("bench_head_tail", f"""SELECT benchmark, m FROM (SELECT benchmark, round(avg(mean), 6) AS m, row_number() OVER (ORDER BY avg(mean), benchmark) AS lo, row_number() OVER (ORDER BY avg(mean) DESC, benchmark) AS hi FROM ({_STATS}) GROUP BY benchmark) WHERE lo <= 3 OR hi <= 3""")
+_sql("total_size", "SELECT source, CAST(sum(octet_length(text)) AS BIGINT) AS bytes FROM {documents} GROUP BY 1", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM {documents} GROUP BY 1")
+
+
+@_query("SELECT event_id, 4.0::DOUBLE * pow(2, event_id % 6) AS minutes FROM events")
+def retry_backoff(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", queue.backoff_minutes(F.col("event_id") % 6).alias("minutes"))
+
+
+@_query("SELECT event_type AS func, count(CASE WHEN event_id % 3 = 0 THEN 1 END) AS queued, count(CASE WHEN event_id % 3 = 1 THEN 1 END) AS running, count(CASE WHEN event_id % 3 = 2 THEN 1 END) AS finished FROM events GROUP BY 1")
+def queue_gauges(spark, sf_dir):
+    state = F.element_at(F.array(*map(F.lit, ("queued", "running", "finished"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return queue.gauges(table(spark, sf_dir, "events").select(F.col("event_type").alias("func"), state.alias("state")))
+
+
+_sql("assignment_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END, event_id) AS place FROM {events}")
+_sql("union_all_rows", "SELECT s_suppkey AS k, s_name AS name FROM {supplier} UNION ALL SELECT c_custkey, c_name FROM {customer}")
