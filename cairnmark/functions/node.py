@@ -368,3 +368,26 @@ def block_head(cid: pd.Series) -> pd.DataFrame:
     """Content and hash type of each CID."""
     rows = [CID(bytes(c))._fields()[:2] for c in cid]
     return pd.DataFrame(rows, columns=["content_type", "hash_type"])
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def links_of_json(json: pd.Series) -> pd.Series:
+    return pd.Series([[c.data for c in links(from_json(x))] for x in json], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def replace_links(json: pd.Series, values: pd.Series) -> pd.Series:
+    """JSON with links replaced by JSON of their targets; values: by base 64 of the link."""
+
+    def put(v, known):
+        if isinstance(v, CID):
+            got = known.get(base64.b64encode(v.data).decode())
+            return v if got is None else from_json(got)
+        if isinstance(v, list):
+            return [put(x, known) for x in v]
+        if isinstance(v, dict):
+            return {k: put(x, known) for k, x in v.items()}
+        return v
+
+    keyed = [{k.replace("\r\n", ""): v for k, v in dict(m or {}).items()} for m in values]
+    return pd.Series([to_json(put(from_json(j), m)) for j, m in zip(json, keyed, strict=True)], dtype=object)

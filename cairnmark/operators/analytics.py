@@ -192,14 +192,16 @@ class LinearProgram:
         out = [f"NAME          {self.name}", "ROWS", " N  COST"]
         out += [f" {dict([('<=', 'L'), ('>=', 'G'), ('=', 'E')])[s]}  {n}" for n, (_, s, _) in self.rows.items()]
         out.append("COLUMNS")
+        column: dict[str, list] = {v: [] for v in self.vars}
+        for row, terms in (("COST", self.cost), *((n, t) for n, (t, _, _) in self.rows.items())):
+            for v, k in terms.items():
+                column[v].append((row, k))
         whole = False
         for v, (kind, _, _) in self.vars.items():
             if (kind != "real") != whole:
                 whole = not whole
                 out.append(f"    MARKER    {'':10}'MARKER'{'':17}'{'INTORG' if whole else 'INTEND'}'")
-            for row, terms in (("COST", self.cost), *((n, t) for n, (t, _, _) in self.rows.items())):
-                if v in terms:
-                    out.append(f"    {v:<8}  {row:<8}  {number(terms[v]):>12}")
+            out += [f"    {v:<8}  {row:<8}  {number(k):>12}" for row, k in column[v]]
         if whole:
             out.append(f"    MARKER    {'':10}'MARKER'{'':17}'INTEND'")
         out.append("RHS")
@@ -228,9 +230,15 @@ def reduced(terms: list[tuple[float, str]]) -> dict[str, float]:
     return out
 
 
+#: Candidates that one program may have: it is built and solved in one process.
+MAX_CANDIDATES = 1_000_000
+
+
 def selection_program(c: DataFrame, pairs: DataFrame) -> LinearProgram:
     """The selection as a program: callees cost their size, candidates earn their savings, need their callee, and of
     overlapping ones one is taken. Callees that can't pay off are left out. For problems that one solver can hold."""
+    if c.count() > MAX_CANDIDATES:
+        raise ValueError("too many candidates for one program; select greedily")
     lp = LinearProgram("SELECT")
     useful = c.join(presolve(c, pairs).filter("NOT useless").select("callee", "size"), "callee")
     rows = useful.select("cand", "callee", "size", "caller_savings").orderBy("cand").collect()

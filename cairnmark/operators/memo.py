@@ -51,6 +51,15 @@ class Evaluator:
     def __init__(self, store, registry: Registry):
         self.store, self.registry = store, registry
 
+    def fold(self, start: DataFrame, passes: list[tuple[str, bytes]]) -> DataFrame:
+        """(item, cid) after all passes (func, id of its parameters) over start (item, cid), each cached by its input."""
+        now = start.select("item", "cid")
+        for func, params in passes:
+            calls = now.select("item", F.lit(func).alias("func"), F.array(F.lit(bytearray(params)), F.col("cid")).alias("args"))
+            done = self.evaluate(calls.select("func", "args"))
+            now = materialize(calls.join(done, ["func", "args"]).select("item", F.col("result").alias("cid")), "pass")
+        return now
+
     def evaluate(self, requests: DataFrame) -> DataFrame:
         """func, args, result of all requests (func, args). A function that is missing, or whose arity differs, fails
         before anything runs; a function that raises fails its call with a message that names it."""

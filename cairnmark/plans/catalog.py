@@ -12,11 +12,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnmark.functions import multibase, names, node
-from cairnmark.operators import analytics, graph, memo, resolve
+from cairnmark.operators import analytics, candidates, graph, memo, resolve
 from cairnmark.session import table
 from cairnmark.sources.store import latest
 from cairnmark.streaming import queue
 
+from . import experiments
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -66,7 +68,7 @@ _hashed("part_copies", "SELECT source AS module, {H} AS part, count(*) AS copies
 _sql("list_modules", "SELECT DISTINCT source AS module FROM {documents}")
 _hashed("list_module_parts", "SELECT source AS module, doc_id AS name, {H} AS part FROM {documents}")
 _hashed("list_all_parts", "SELECT DISTINCT {H} AS part FROM {documents}")
-_hashed("get_part_by_id", "SELECT {H} AS part, min(text) AS text FROM {documents} WHERE doc_id % 100 = 7 GROUP BY 1")
+_hashed("get_part_by_id", "SELECT {H} AS part, min(text) AS text FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels}) GROUP BY 1")
 _sql("rejoin_module", "SELECT source AS module, sha2(array_join(transform(array_sort(collect_list(struct(doc_id, text))), x -> x.text), ''), 256) AS whole FROM {documents} GROUP BY 1",
      "SELECT source AS module, sha256(string_agg(text, '' ORDER BY doc_id)) AS whole FROM {documents} GROUP BY 1")
 _hashed("melt_parts", "SELECT {H} AS part, min(source) AS first_module, count(DISTINCT source) AS modules FROM {documents} GROUP BY 1")
@@ -90,12 +92,12 @@ _sql("list_funcs", "SELECT DISTINCT event_type AS func FROM {events}")
 _sql("list_calls", f"SELECT * FROM ({_CALLS}) WHERE func = 'click'")
 _sql("call_invalidate", f"SELECT * FROM ({_CALLS}) WHERE func <> 'click'")
 _sql("names_using", """
-SELECT 'customer' AS kind, c_custkey AS id FROM {customer} WHERE c_nationkey = 7
-UNION ALL SELECT 'supplier', s_suppkey FROM {supplier} WHERE s_nationkey = 7
-UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM {nation} WHERE n_nationkey = 7""")
+SELECT n_nationkey AS cid, 'customer' AS kind, c_custkey AS id FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey
+UNION ALL SELECT n_nationkey, 'supplier', s_suppkey FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey
+UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS BIGINT) FROM {nation}""")
 _sql("has_blocks", "SELECT p_partkey FROM {part} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey)")
 _sql("garbage_parts", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey)")
-_sql("copy_head", "SELECT 'copy' AS name, max(event_id) AS cid FROM {events} WHERE user_id = 1")
+_sql("copy_head", "SELECT concat('copy/', CAST(user_id AS VARCHAR(20))) AS name, max(event_id) AS cid FROM {events} GROUP BY user_id")
 
 # --- memo ---
 
@@ -299,13 +301,13 @@ def nodeset_decode(spark, sf_dir):
     return analytics.decode_runs(_runs(spark, sf_dir)).select("k", "node")
 
 
-_SPAN = "SELECT user_id AS func, event_id AS cand, event_id AS s, event_id + 40 AS e FROM {t} WHERE event_type = 'error'"
+_SPAN = "SELECT user_id AS func, event_id AS cand, event_id AS s, event_id + 40 AS e FROM {t}"
 
 
 def _spans(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("func"), F.col("event_id").alias("cand"), F.array(F.col("event_id"), F.col("event_id") + 40).alias("nodes"),
-                    (F.col("event_id") % 50).alias("callee"), (F.col("event_id") % 7 + 1).alias("callee_size"), (F.col("event_id") % 11).alias("caller_savings"))
+                    (F.col("user_id") * 10 + F.col("event_id") % 5).alias("callee"), (F.col("event_id") % 7 + 1).alias("callee_size"), (F.col("event_id") % 11).alias("caller_savings"))
 
 
 _PAIRS = f"SELECT a.cand AS a, b.cand AS b FROM ({_SPAN.format(t='events')}) a JOIN ({_SPAN.format(t='events')}) b ON a.func = b.func AND a.cand < b.cand AND b.s < a.e AND a.s < b.e"
@@ -317,7 +319,7 @@ def overlap_pairs(spark, sf_dir):
 
 
 @_query(f"""WITH p AS ({_PAIRS}), t AS (SELECT a AS cand FROM p UNION SELECT b FROM p),
-c AS (SELECT event_id AS cand, event_id % 50 AS callee, event_id % 7 + 1 AS callee_size, event_id % 11 AS caller_savings FROM events WHERE event_type = 'error'),
+c AS (SELECT event_id AS cand, user_id * 10 + event_id % 5 AS callee, event_id % 7 + 1 AS callee_size, event_id % 11 AS caller_savings FROM events),
 g AS (SELECT callee, CAST(sum(caller_savings) AS BIGINT) AS savings, min(callee_size) AS size, CAST(sum(CASE WHEN t.cand IS NULL THEN caller_savings ELSE 0 END) AS BIGINT) AS free_savings FROM c LEFT JOIN t ON t.cand = c.cand GROUP BY 1)
 SELECT *, savings <= size AS useless, free_savings > size AS always_profitable FROM g""")
 def ilp_presolve(spark, sf_dir):
@@ -449,9 +451,9 @@ def cid_blake2b(spark, sf_dir):
     return d.select("doc_id", multibase.encode_column(F.col("b.cid")).alias("cid"), "b.content_type", "b.hash_type", F.octet_length("b.content").alias("n_bytes"))
 
 
-@_query("""SELECT event_id, '{"map":{"type":' || to_json(event_type) || ',"user":' || CAST(user_id AS VARCHAR) || ',"event":' || CAST(event_id AS VARCHAR) || '}}' AS json FROM events WHERE event_id % 20 = 0""")
+@_query("""SELECT event_id, '{"map":{"type":' || to_json(event_type) || ',"user":' || CAST(user_id AS VARCHAR) || ',"event":' || CAST(event_id AS VARCHAR) || '}}' AS json FROM events""")
 def node_json_round_trip(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 20 = 0")
+    e = table(spark, sf_dir, "events")
     text = F.concat(F.lit('{"map":{"event":'), F.col("event_id").cast("string"), F.lit(',"type":'), F.concat(F.lit('"'), "event_type", F.lit('"')), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}}"))
     return e.select("event_id", node.block_of_json(text).alias("b")).select("event_id", node.json_of_block("b.cid", "b.content").alias("json"))
 
@@ -506,3 +508,85 @@ def queue_gauges(spark, sf_dir):
 
 _sql("assignment_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END, event_id) AS place FROM {events}")
 _sql("union_all_rows", "SELECT s_suppkey AS k, s_name AS name FROM {supplier} UNION ALL SELECT c_custkey, c_name FROM {customer}")
+
+
+# --- candidates from ordered rows, rewriting, plans ---
+
+_ITEMS = "SELECT l_orderkey AS func, l_linenumber AS pos, 0 AS block, concat(l_returnflag, ' ', CAST(l_partkey AS STRING)) AS text, l_linestatus = 'O' AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM {lineitem} GROUP BY 1, 2)"
+
+
+def _windows(spark, sf_dir):
+    return candidates.window_candidates(spark.sql(_ITEMS, lineitem=table(spark, sf_dir, "lineitem")), max_adjacent=4, min_savings=1)
+
+
+_WINDOWS = """WITH i AS (SELECT l_orderkey AS func, l_linenumber AS pos, l_returnflag || ' ' || CAST(l_partkey AS VARCHAR) AS text, l_linestatus = 'O' AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)),
+n AS (SELECT *, row_number() OVER (PARTITION BY func ORDER BY pos) AS r FROM i),
+w AS (SELECT a.func, a.pos AS s, b.pos + 1 AS e, b.r - a.r + 1 AS k, a.text AS head, a.r AS ar, b.r AS br FROM n a JOIN n b ON a.func = b.func AND b.r BETWEEN a.r AND a.r + 3),
+x AS (SELECT w.func, w.s, w.e, w.k, w.head, sum(strlen(c.text)) AS total, bool_and(c.ok) AS ok, string_agg(c.text, chr(10) ORDER BY c.r) AS whole FROM w JOIN n c ON c.func = w.func AND c.r BETWEEN w.ar AND w.br GROUP BY ALL)
+SELECT func, s, e, CAST(k AS VARCHAR) || ':' || split_part(head, ' ', 1) AS group_key, CAST(total + 8 AS BIGINT) AS callee_size, CAST(total - 5 AS BIGINT) AS caller_savings, sha256(whole) AS callee FROM x WHERE ok AND total - 5 >= 1"""
+
+
+@_query(_WINDOWS)
+def window_candidates(spark, sf_dir):
+    c = _windows(spark, sf_dir)
+    return c.select("func", F.col("nodes")[0].alias("s"), F.col("nodes")[1].alias("e"), "group_key", F.col("callee_size").cast("long").alias("callee_size"), F.col("caller_savings").cast("long").alias("caller_savings"), "callee")
+
+
+@_query(f"SELECT callee, min(callee_size) - 8 AS size, count(*) AS members FROM ({_WINDOWS}) GROUP BY 1")
+def extracted_callees(spark, sf_dir):
+    return _windows(spark, sf_dir).groupBy("callee").agg((F.min("callee_size") - 8).cast("long").alias("size"), F.count(F.lit(1)).alias("members"))
+
+
+@_query(f"""WITH c AS ({_WINDOWS}), g AS (SELECT group_key FROM c GROUP BY 1 HAVING sum(caller_savings) > min(callee_size)),
+a AS (SELECT callee, min(callee_size) - 8 AS actual FROM c GROUP BY 1)
+SELECT c.func, c.s, c.e, c.group_key, CAST(floor((row_number() OVER (PARTITION BY c.func ORDER BY c.group_key, c.s, c.e) - 1) / 64) AS BIGINT) AS batch, a.actual AS callee_size, c.caller_savings + least(0, a.actual - c.callee_size) AS caller_savings
+FROM c JOIN g ON g.group_key = c.group_key JOIN a ON a.callee = c.callee""")
+def grouped_callees_for_functions(spark, sf_dir):
+    c = _windows(spark, sf_dir)
+    sizes = c.groupBy("callee").agg((F.min("callee_size") - 8).alias("actual"))
+    out = candidates.grouped_callees_for_functions(c, sizes)
+    return out.select("func", F.col("nodes")[0].alias("s"), F.col("nodes")[1].alias("e"), "group_key", F.col("batch").cast("long").alias("batch"), F.col("callee_size").cast("long").alias("callee_size"), F.col("caller_savings").cast("long").alias("caller_savings"))
+
+
+@_query("""SELECT source AS module, CAST(doc_id AS VARCHAR) AS name, CASE WHEN doc_id % 2 = 0 THEN 'new:' || sha256(text) ELSE sha256(text) END AS part FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE sha256(o.text) = sha256(d.text) AND o.doc_id % 2 <> d.doc_id % 2)""")
+def rewritten_module(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("module"), "doc_id", F.sha2("text", 256).alias("part"))
+    odd = d.groupBy("part").agg(F.count_distinct(F.col("doc_id") % 2).alias("n")).filter("n = 1").select("part")
+    d = d.join(odd, "part", "left_semi")
+    new = d.filter("doc_id % 2 = 0").select("part", F.concat(F.lit("new:"), "part").alias("new_part")).distinct()
+    return candidates.rewrite(d.select("module", F.col("doc_id").cast("string").alias("name"), "part"), new)
+
+
+@_query("SELECT p_partkey, p_size % 5 <> 0 AND NOT (p_size % 7 = p_size % 5) AS ok FROM part")
+def outlinable_sets(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.sequence(F.lit(0), F.col("p_size") % 5).alias("all"), (F.col("p_size") % 5).alias("k"), (F.col("p_size") % 7).alias("f"))
+    sets = p.select("p_partkey", F.filter("all", lambda x: x > 0).alias("nodes"), F.when(F.col("f") == F.col("k"), F.array("k")).otherwise(F.array(F.lit(99))).alias("forbidden"),
+                    F.array("k").alias("forced"), F.array(F.lit(0)).alias("dominating"), F.array(F.lit(0)).alias("dominators"))
+    return sets.select("p_partkey", candidates.outlinable(sets).alias("ok"))
+
+
+@_query("""SELECT page_id, s.section FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*/([a-z]*)', 1) AS lang FROM pages) p
+JOIN (VALUES ('nouse', '^www\\..*$', '^.*$'), ('noplugin', '^.*\\.example\\.org$', '^en$'), ('nouse', '^m\\..*$', '^d.$')) s(section, mp, np) ON regexp_full_match(p.host, s.mp) AND regexp_full_match(p.lang, s.np) GROUP BY 1, 2""")
+def symbol_sections(spark, sf_dir):
+    u = F.col("url")
+    s = table(spark, sf_dir, "pages").select(F.concat_ws(" ", F.regexp_extract(u, "://([^/?#]*)", 1)).alias("module"), F.regexp_extract(u, "://[^/?#]*/([a-z]*)", 1).alias("name"), "page_id")
+    lists = spark.createDataFrame([("nouse", "www.*", "*"), ("noplugin", "*.example.org", "en"), ("nouse", "m.*", "d?")], "section string, module_glob string, name_glob string")
+    return s.join(candidates.matches_sections(s.select("module", "name").distinct(), lists), ["module", "name"]).select("page_id", "section").distinct()
+
+
+@_query("SELECT source, count(*) AS n FROM documents WHERE n_chars > 100 GROUP BY 1")
+def experiment_plan(spark, sf_dir):
+    config = {
+        "docs": {"file": f"{sf_dir}/documents.parquet"}, "again": {"call": "id", "args": ["${var:docs}"]},
+        "long": {"call": "longer", "args": ["${var:again}", 100]}, "counts": {"call": "count", "args": ["${var:long}"]},
+    }
+    funcs = {"longer": lambda df, n: df.filter(F.col("n_chars") > n), "count": lambda df: df.groupBy("source").agg(F.count(F.lit(1)).alias("n"))}
+    return experiments.Plans(spark, config, funcs).get("counts")
+
+
+@_query("SELECT l_orderkey AS experiment, max(l_partkey) AS text_size FROM lineitem GROUP BY 1")
+def size_report(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_partkey").alias("p"))
+    out = F.concat(F.lit("   text\t   data\n  "), F.col("p").cast("string"), F.lit("\t      12\n"))
+    return candidates.size_report(li.select(F.col("l_orderkey").alias("experiment"), out.alias("output")))

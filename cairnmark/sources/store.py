@@ -122,6 +122,20 @@ class Store:
         stored = keys.filter("own IS NULL").select("cid").join(self.blocks.select("cid", "content"), "cid")
         return own.unionByName(stored).select("cid", node.json_of_block("cid", "content").alias("json"))
 
+    def inline(self, keys: DataFrame, depth: int = 0) -> DataFrame:
+        """json of every known key with links replaced by what they point to, `depth` levels down.
+
+        Each level fetches the links of all rows by one join and puts their contents in place.
+        """
+        found = self.get(keys).select("cid", "json")
+        for level in range(depth):
+            links = found.select(F.explode(node.links_of_json("json")).alias("cid")).distinct()
+            have = self.get(links).select(F.col("cid").alias("link"), F.col("json").alias("value"))
+            each = found.select("cid", "json", F.explode_outer(F.array_distinct(node.links_of_json("json"))).alias("link"))
+            whole = each.join(have, "link", "left").groupBy("cid", "json").agg(F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct(F.base64("link"), "value")))).alias("m"))
+            found = whole.select("cid", node.replace_links("json", "m").alias("json"))
+        return found
+
     def has(self, keys: DataFrame) -> DataFrame:
         """The keys (cid) that are known; identity CIDs always are."""
         own = node.inline_content(F.col("cid")).isNotNull()

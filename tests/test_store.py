@@ -170,3 +170,54 @@ def test_queue(store, spark, tmp_path):
     stream = spark.readStream.schema("func string, args array<binary>, ts timestamp").parquet(source)
     run_queue(stream, Evaluator(store, reg), str(tmp_path / "ck")).awaitTermination()
     assert store.list_calls("test.add").count() == 2
+
+
+def test_inlined_links(store, spark):
+    two = node.to_ipld(2)[0]
+    inner = node.to_ipld([two])[0]
+    outer = node.to_ipld({"a": inner, "b": inner})[0]
+    put(store, [two], {"a": inner, "b": inner})
+    keys = spark.createDataFrame([(bytearray(outer.data),)], "cid binary")
+    show = lambda d: node.from_json(store.inline(keys, d).first()["json"])
+    assert show(0) == {"a": inner, "b": inner}
+    assert show(1) == {"a": [two], "b": [two]}
+    assert show(2) == show(5) == {"a": [2], "b": [2]}
+
+
+def test_pass_fold(store, spark):
+    reg = Registry()
+    reg.register("pass.add", 2, lambda p, x: p + x)
+    reg.register("pass.mul", 2, lambda p, x: p * x)
+    ev = Evaluator(store, reg)
+    start = spark.createDataFrame([(i, bytearray(node.to_ipld(i)[0].data)) for i in range(4)], "item int, cid binary")
+    got = ev.fold(start, [("pass.add", node.to_ipld(1)[0].data), ("pass.mul", node.to_ipld(10)[0].data)])
+    assert {r["item"]: node.from_ipld(CID(bytes(r["cid"]))) for r in got.collect()} == {i: (i + 1) * 10 for i in range(4)}
+
+
+def test_node_files(spark, tmp_path):
+    from cairnmark.sources import nodes
+
+    (tmp_path / "a.bin").write_bytes(node.to_cbor([1, 2]) + node.to_cbor("x"))
+    (tmp_path / "b.bin").write_bytes(b'{"map":{"k":1.0}}'.replace(b"1.0", b"1"))
+    (tmp_path / "c.bin").write_bytes(b"\xff\xfe raw")
+    got = sorted(r["json"] for r in nodes.read_nodes(spark, str(tmp_path / "*.bin")).collect())
+    assert got == sorted(['[1,2]', '"x"', '{"map":{"k":1}}', node.to_json(b"\xff\xfe raw")])
+    assert nodes.read_nodes(spark, str(tmp_path / "a.bin"), "cbor").count() == 2
+    assert nodes.read_nodes(spark, str(tmp_path / "b.bin"), "json").first()["json"] == '{"map":{"k":1}}'
+    assert nodes.read_nodes(spark, str(tmp_path / "c.bin"), "raw").first()["json"] == node.to_json(b"\xff\xfe raw")
+    df = spark.createDataFrame([('"a"',), ('{"base64":"YQ=="}',)], "json string")
+    assert [r[0] for r in df.select(nodes.plain_of_json("json")).collect()] == ["a", '{"base64":"YQ=="}']
+    assert bytes(df.filter("json LIKE '%base64%'").select(nodes.raw_of_json("json")).first()[0]) == b"a"
+    nodes.write_lines(df.selectExpr("json AS text"), str(tmp_path / "out"), ["text"])
+    nodes.write_csv(df, str(tmp_path / "csv"))
+    assert spark.read.text(str(tmp_path / "out")).count() == spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+
+
+def test_plans(spark):
+    from cairnmark.plans.experiments import Plans
+
+    p = Plans(spark, {"a": {"call": "id", "args": ["${var:b}"]}, "b": {"call": "id", "args": ["${var:a}"]}, "c": {"call": "id", "args": ["${var:none}"]}}, {})
+    with pytest.raises(ValueError):
+        p.get("a")
+    with pytest.raises(KeyError):
+        p.get("c")
