@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import table
-from .shingles import WordHashes, arrow_rows, at_least, shingles
+from .shingles import arrow_rows, at_least, distinct, shingles
 
 PERCENT = 80
 #: Items that one pass over the documents searches for; more items make more passes, so what is broadcast is bounded.
@@ -27,9 +27,9 @@ class ItemIndex:
     """Sketches and shingle sets of a bounded block of items."""
 
     def __init__(self, items: list[tuple], percent: int = PERCENT):
-        words, by_set = WordHashes(), {}
+        by_set = {}
         for item_id, data in items:
-            s = np.unique(shingles(data, words))
+            s = distinct(shingles(data))
             if len(s):
                 by_set.setdefault(s.tobytes(), (s, []))[1].append(item_id)
         self.sets = [s for s, _ in by_set.values()]
@@ -51,7 +51,7 @@ class ItemIndex:
 
     def matches(self, h: np.ndarray) -> list[tuple]:
         """(item index, its shingles in the document) of every item contained well enough in a document's shingles."""
-        h = np.unique(h)
+        h = distinct(h)
         hit = h[self.seen[(h >> np.uint64(44)).astype(np.int64)]]
         if not len(hit):
             return []
@@ -94,9 +94,9 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     for index in item_blocks(items, percent):
 
         def scan(batches, index=index):
-            own, words = index.value, WordHashes()
+            own = index.value
             for batch in batches:
-                rows = [(doc_id, item, len(own.sets[i]), n) for doc_id, data in arrow_rows([batch], 0, 1) for i, n in own.matches(shingles(data, words)) for item in own.ids[i]]
+                rows = [(doc_id, item, len(own.sets[i]), n) for doc_id, data in arrow_rows([batch], 0, 1) for i, n in own.matches(shingles(data)) for item in own.ids[i]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -113,8 +113,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) ->
         def holds(data):
             import pandas as pd
 
-            own, words = index.value, WordHashes()
-            return pd.Series([bool(own.matches(shingles(x, words))) for x in data], dtype=bool)
+            own = index.value
+            return pd.Series([bool(own.matches(shingles(x))) for x in data], dtype=bool)
 
         docs = docs.filter(~holds(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return docs

@@ -5,9 +5,12 @@ count sketch over all documents, then the hash), and a set's prefix of n - ceil(
 of every set that it can link with. Documents with the same prefix and size make one group; groups are paired by
 their prefix shingles, pairs are filtered by size and position, then expanded to members and verified on whole sets.
 
-Pairs are tried in stars: each group of a shingle against the least one, and once again against another one among
-what is still apart. What is already connected needs no further pairs; all pairs that remain between different
-components are verified at last, so that no component is lost and copies never make pairs by the square.
+Two sets that link share not one but a known number of prefix shingles, which grows with their sizes: fewer, and a
+pair is dropped unseen; and a pair that must share more than it has hot shingles need not be looked for at those.
+Pairs are first tried in stars: each group of a shingle against the one whose prefix is the most common, which among
+edited copies is the one edited least. What that connects needs no further pairs: all pairs that remain between
+different components are verified at last, where of each shingle only groups outside its largest component look for
+others. So no component is lost, and copies never make pairs by the square.
 """
 
 from __future__ import annotations
@@ -15,17 +18,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .common import materialize, table
 from .graphs import components
-from .shingles import WordHashes, arrow_rows, at_least, shingles
+from .shingles import arrow_rows, at_least, distinct, shingles
 
 PERCENT = 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: A frame is broadcast only if it has been counted and has no more rows than this (ids of 24 bytes or so).
 BROADCAST_ROWS = 1_000_000
+#: Star rounds before all pairs that are left.
+STARS = 2
+#: A shingle of more groups than this is hot.
+HOT = 32
+#: Shingles looked up for a pair beyond those that are needed to see it at all.
+SPARE = 0
 #: Members that one task verifies against a copy of their centre.
 STAR = 200
 
@@ -39,9 +49,9 @@ def _sketch(docs: DataFrame) -> DataFrame:
     """(bucket, n): frequent buckets of shingle hashes, over all documents; at most 2 ** SKETCH_BITS rows."""
 
     def scan(batches):
-        words, seen, counts, held, waiting = WordHashes(), set(), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        seen, counts, held, waiting = set(), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for (data,) in arrow_rows(batches, 0):
-            h = np.unique(shingles(data, words))
+            h = distinct(shingles(data))
             d = xxhash.xxh3_64_intdigest(h.tobytes())
             if d not in seen:
                 seen.add(d)
@@ -52,7 +62,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 held, waiting = [], 0
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        at = np.flatnonzero(counts >= max(4.0, 4 * counts.mean()))
+        at = np.flatnonzero(counts >= max(4.0, 4 * counts.mean()))  # rarer ones stay as rare as any
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(scan, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -62,19 +72,19 @@ def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, text_md5, n, key, gkey, prefix) of every row; prefix only where a task meets a group first."""
     spark = docs.sparkSession
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in _sketch(docs).toLocalIterator():
-        levels[r["bucket"]] = int(r["n"]).bit_length()
+    heavy = _sketch(docs).toArrow()
+    levels[heavy["bucket"].to_numpy()] = np.log2(heavy["n"].to_numpy()).astype(np.uint8) + 1
     shared = spark.sparkContext.broadcast(levels)
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_md5", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("gkey", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(kind)
 
     def scan(batches):
-        words, seen, level = WordHashes(), set(), shared.value
+        seen, level = set(), shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(start, 512), []
                 for doc_id, md5, data in arrow_rows([part], 0, 1, 2):
-                    h = np.unique(shingles(data, words))
+                    h = distinct(shingles(data))
                     n = len(h)
                     if not n:
                         rows.append((doc_id, md5, 0, None, None, None))
@@ -98,42 +108,40 @@ def set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, data) of the wanted keys: one text each. wanted: (key, doc_id)."""
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
-    ids = wanted.select("doc_id").distinct()
-    source = source.join(small(ids), source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("data")
+def _verify(docs: DataFrame, base: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ok) of pairs (a, b) of keys: ok where their whole sets link. Members meet a copy of their centre a.
 
-    def keyed(batches):
-        words = WordHashes()
-        for batch in batches:
-            data = batch.column(0)
-            keys = [set_key(np.unique(shingles(x, words))) for (x,) in arrow_rows([batch], 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), data], ["key", "data"])
-
-    found = source.mapInArrow(keyed, "key long, data binary").join(small(wanted.select("key")), "key", "left_semi")
-    return materialize(found.dropDuplicates(["key"]), "texts")
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) of pairs (a, b) of keys: ok where their whole sets link. Members meet a copy of their centre a."""
-    pairs = materialize(pairs.select("a", "b"), "pairs")
+    Each text is read where it stands and sent once for each pair, to a task that holds at most about STAR members of
+    one centre at a time.
+    """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("long").alias("parts"))
     member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), F.col("b").alias("key"))
     centre = parts.select(F.col("a").alias("key"), F.col("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     both = centre.select("a", "salt", "key", F.lit(0).alias("role")).unionByName(member.withColumn("role", F.lit(1)))
-    rows = both.join(texts, "key").select("a", "salt", "role", "key", "data").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    row = members.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text_md5").alias("text_md5"))
+    wanted = materialize(row.join(both, "key"), "wanted")
+    ids = wanted.select("doc_id", "text_md5").distinct()
+    same = base.alias("b").join(small(ids).alias("i"), F.col("b.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("b.text_md5") == F.col("i.text_md5")), "left_semi")
+    repeated = not same.groupBy("doc_id", "text_md5").count().filter("count > 1").isEmpty()
+    text = F.col("text").cast("binary")
+    source = docs.select("doc_id", F.unhex(F.md5(F.coalesce(text, F.lit(b"")))).alias("text_md5"), text.alias("data")).alias("s")
+    if repeated:
+        near = small(ids).alias("i")
+        source = source.join(near, F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("s.text_md5") == F.col("i.text_md5")), "left_semi").dropDuplicates(["doc_id", "text_md5"]).alias("s")
+    w = small(wanted).alias("w")
+    rows = source.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.text_md5") == F.col("w.text_md5")))
+    rows = rows.select("a", "salt", "role", "key", "data").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def check(batches):
-        words, centre_set = WordHashes(), None
+        centre_set = None
         for batch in batches:
             out = []
             for a, role, key, data in arrow_rows([batch], 0, 2, 3, 4):
-                h = np.unique(shingles(data, words))
+                h = distinct(shingles(data))
                 if role == 0:
                     centre_set = h
                     continue
-                both_in = len(h) + len(centre_set) - len(np.union1d(h, centre_set))
+                both_in = len(h) + len(centre_set) - len(distinct(np.concatenate([h, centre_set])))
                 out.append((a, key, 100 * both_in >= percent * (len(h) + len(centre_set) - both_in)))
             if out:
                 a, b, ok = zip(*out, strict=True)
@@ -142,65 +150,135 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return materialize(rows.mapInArrow(check, "a long, b long, ok boolean"), "verified")
 
 
+def _size_fits(x: str, y: str, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _need(x: str, y: str, percent: int) -> Column:
+    """Shingles that linking sets of these sizes have in common, at least."""
+    return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent) - 1e-9)
+
+
+def _common(x: str, y: str, percent: int) -> Column:
+    """Of these, those that lie in both prefixes, at least: no more than ceil(0.8 n) - 1 lie behind a prefix."""
+    return _need(x, y, percent) - F.ceil(F.greatest(x, y) * percent / 100 - 1e-9) + 1
+
+
+def _rest(t: DataFrame, percent: int) -> DataFrame:
+    """(g, h): pairs of groups of different components that may link.
+
+    Of each pair the group of the lighter component looks for the other one. If both have more in common than they
+    have hot shingles, hot ones aren't looked at. Of the s shingles that are, at least k must be met, so at least c + 1
+    of the first s - k + 1 + c: those alone are looked up.
+    """
+    x, y = t.filter("out").alias("x"), t.alias("y")
+    k = _common("x.n", "y.n", percent)
+    hot = F.least("x.hot", "y.hot")
+    k_now = F.when(k <= hot, k).otherwise(k - hot)
+    looked = lambda side: F.when(k <= hot, F.col(f"{side}.shared")).otherwise(F.col(f"{side}.shared") - F.col(f"{side}.hot"))
+    spare = F.least(F.lit(SPARE), k_now - 1)
+    turn = (F.col("x.ord") < F.col("y.ord")) | (F.col("x.mixed") & (F.col("x.ord") == F.col("y.ord")) & (F.col("x.gkey") < F.col("y.gkey")))
+    # before and behind a common shingle there must be room for what else they have in common
+    room = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _need("x.n", "y.n", percent)
+    on = (F.col("x.token") == F.col("y.token")) & turn & _size_fits("x.n", "y.n", percent) & room & (k_now <= F.least(looked("x"), looked("y"))) & (F.col("x.rank") < looked("x") - k_now + 1 + spare)
+    met = x.join(y, on).select(F.col("x.gkey").alias("g"), F.col("y.gkey").alias("h"), (spare + 1).alias("least"))
+    return met.groupBy("g", "h").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("met")).filter("met >= least").select("g", "h")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_md5, n_shingles, key, component_id) of every row of docs.
+    """(doc_id, text_md5, n_shingles, key, label, component_id) of every row of docs.
 
-    key: the row's shingle set (null without words); component_id: the least doc_id that links reach. Rows without
+    key: the row's shingle set (null without words); label: its component; component_id: the least doc_id that links
+    reach. Rows without
     words link with nothing and keep their own id; null ids come last, so a component of null ids alone has none;
     repeated rows have one set and one component; other columns are ignored; an empty table gives no rows.
     """
     base = materialize(_prefixes(docs, percent), "prefixes")
-    tokens = base.filter("prefix IS NOT NULL").select("gkey", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("gkey").alias("c"), F.max("gkey").alias("d")).filter("c < d").select("token")
-    # repeated rows of a group, one from each task, are the same row
-    tokens = materialize(tokens.join(shared, "token", "left_semi").distinct(), "tokens")
-    keyed = base.filter("key IS NOT NULL").groupBy("gkey", "key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    dealt = base.filter("prefix IS NOT NULL").select("gkey", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    # a group comes once from each task that meets it
+    dealt = dealt.groupBy("token", "gkey").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    shared = dealt.groupBy("token").agg(F.min("gkey").alias("c"), F.max("gkey").alias("d")).filter("c < d").select("token")
+    tokens = materialize(dealt.join(shared, "token", "left_semi"), "tokens")
+    keyed = base.filter("key IS NOT NULL").groupBy("gkey", "key").agg(F.min(F.struct("doc_id", "text_md5")).alias("row"), F.first("n").alias("n"))
     paired = tokens.select("gkey").union(keyed.groupBy("gkey").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gkey")).distinct()
     members = materialize(keyed.join(paired, "gkey", "left_semi"), "members")
-    texts = _texts(docs, members.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    labels = members.select(F.col("key").alias("node"), F.col("key").alias("label"))
     tested = links = None
-    labels = members.select(F.col("key").alias("node"), F.col("key").alias("label")).distinct()
-    for step in ("star", "star", "rest"):
-        own = materialize(members.join(labels, members["key"] == labels["node"]).drop("node"), "own")
-        group = own.groupBy("gkey").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("least"))
-        wide = tokens.join(group, "gkey")
-        apart = wide.groupBy("token").agg(F.min("low").alias("tl"), F.max("high").alias("th"), F.min_by("gkey", F.xxhash64("gkey", F.lit(0 if tested is None else 1))).alias("centre"), F.count(F.lit(1)).alias("m")).filter("tl < th")
-        if step == "star":
-            gpairs = tokens.join(apart.filter("m > 1"), "token").filter("centre <> gkey").select(F.col("centre").alias("g"), F.col("gkey").alias("h"), F.col("n").alias("hn")).distinct()
-            heads = group.select(F.col("gkey").alias("g"), F.col("least").alias("a"))
-            x = gpairs.join(heads, "g").join(members.select(F.col("key").alias("a"), F.col("n").alias("gn")).distinct(), "a")
-            x = x.filter(F.least("gn", "hn") * 100 >= F.greatest("gn", "hn") * percent).select("a", F.col("h").alias("gkey"))
-            pairs = x.join(own.select("gkey", F.col("key").alias("b"), F.col("label").alias("lb")), "gkey")
-            inner = own.join(group.filter("low < high"), "gkey").select(F.col("least").alias("a"), F.col("key").alias("b"), F.col("label").alias("lb"))
-            pairs = pairs.select("a", "b", "lb").unionByName(inner)
-            pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").filter("a <> b AND la <> lb").select("a", "b").distinct()
+    for step in range(STARS + 1):
+        own = materialize(members.select("gkey", "key", "n").join(labels, members["key"] == labels["node"]).drop("node"), "own")
+        group = materialize(own.groupBy("gkey").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("least"), F.first("n").alias("n")), "groups")
+        inner = group.filter("low < high")
+        wide = tokens.join(group.select("gkey", "low", "high", "least"), "gkey")
+        spread = wide.groupBy("token").agg(F.min("low").alias("tl"), F.max("high").alias("th"), F.count(F.lit(1)).alias("m")).filter("tl < th").select("token", "m")
+        met = materialize(wide.join(spread, "token"), "apart")
+        if step < STARS:
+            noise = 1 + F.pmod(F.xxhash64("gkey", F.lit(step)), F.lit(1024)) / 8192
+            score = met.groupBy("gkey").agg((F.sum(F.log("m")) / F.first("n") * noise).alias("score"))
+            met = met.join(score, "gkey")
+            centre = met.groupBy("token").agg(F.max(F.struct("score", "gkey", "n", "least", "low", "high")).alias("c"))
+            met = met.join(centre, "token").filter("c.gkey <> gkey AND NOT (low = high AND c.low = c.high AND low = c.low)")
+            met = met.groupBy(F.col("c.gkey").alias("g"), F.col("gkey").alias("h")).agg(F.first("c.least").alias("a"), F.first("c.n").alias("gn"), F.first("n").alias("hn"), F.count(F.lit(1)).alias("met"))
+            # pairs of few common shingles wait for the last step
+            gpairs = met.filter(_size_fits("gn", "hn", percent) & (2 * F.col("met") >= _common("gn", "hn", percent)))
+            pairs = gpairs.select("a", F.col("h").alias("gkey")).join(own.select("gkey", F.col("key").alias("b")), "gkey").select("a", "b")
+            pairs = pairs.unionByName(own.join(inner.select("gkey", F.col("least").alias("a")), "gkey").select("a", F.col("key").alias("b")))
+            pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            t = wide.join(apart.select("token"), "token")
-            x, y = t.alias("x"), t.alias("y")
-            need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent) - 1e-9)
-            room = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
-            one = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
-            gpairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gkey") < F.col("y.gkey")) & fits & (room >= need) & ~one)
-            gpairs = gpairs.select(F.col("x.gkey").alias("g"), F.col("y.gkey").alias("h")).distinct()
-            gpairs = gpairs.unionByName(group.filter("low < high").select(F.col("gkey").alias("g"), F.col("gkey").alias("h")))
+            weight = met.groupBy("low").agg(F.count(F.lit(1)).alias("weight"))
+            mixed = F.col("low") != F.col("high")
+            t = met.join(met.groupBy("gkey").agg(F.count_if(F.col("m") > HOT).alias("hot"), F.count(F.lit(1)).alias("shared")), "gkey").join(weight, "low")
+            t = t.withColumn("rank", F.row_number().over(Window.partitionBy("gkey").orderBy((F.col("m") > HOT).cast("int"), "token")) - 1)
+            t = t.withColumn("mixed", mixed).withColumn("ord", F.struct((~mixed).cast("int").alias("a"), "weight", "low"))
+            t = t.join(t.groupBy("token").agg(F.max("ord").alias("top")), "token")
+            t = materialize(t.select("token", "gkey", "n", "pos", "hot", "shared", "rank", "mixed", "ord", (mixed | (F.col("ord") < F.col("top"))).alias("out")), "apart")
+            gpairs = _rest(t, percent)
+            gpairs = gpairs.unionByName(inner.select(F.col("gkey").alias("g"), F.col("gkey").alias("h")))
             one_side = own.select(F.col("gkey").alias("g"), F.col("key").alias("a"), F.col("label").alias("la"))
             other = own.select(F.col("gkey").alias("h"), F.col("key").alias("b"), F.col("label").alias("lb"))
-            pairs = gpairs.join(one_side, "g").join(other, "h").filter("la <> lb AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = gpairs.join(one_side, "g").join(other, "h").filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        checked = _verify(pairs, texts, percent)
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        good = checked.filter("ok").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        found = components(links)
-        labels = materialize(members.select(F.col("key").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.isEmpty():
+            checked = _verify(docs, base, members, pairs, percent)
+            tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
+            good = checked.filter("ok").select("a", "b")
+            links = good if links is None else links.unionByName(good)
+            labels = materialize(members.select(F.col("key").alias("node")).join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    labels = materialize(labels, "labels")
     least = base.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("d")).join(labels.withColumnRenamed("node", "key"), "key", "left")
     least = materialize(least.select("key", "d", F.coalesce("label", "key").alias("label")), "least")
     top = least.groupBy("label").agg(F.min("d").alias("component_id"))
-    of_key = least.join(top, "label").select("key", "component_id")
+    of_key = least.join(top, "label").select("key", "label", "component_id")
     out = base.select("doc_id", "text_md5", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left")
-    return out.select("doc_id", "text_md5", "n_shingles", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_md5", "n_shingles", "key", "label", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without all but one of each component: the one of the least (doc_id, MD5 of the text) stays.
+
+    Null ids stay only where a component has no other; of repeated rows that would stay one does; rows without words
+    all stay. Columns are those of docs.
+    """
+    found = materialize(near_duplicates(docs, percent).filter("key IS NOT NULL").select("doc_id", "text_md5", "label"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_md5")
+    best = found.groupBy("label").agg(F.min(order).alias("b"))
+    rows = found.join(best, "label").withColumn("wins", order.eqNullSafe(F.col("b")))
+    losers = materialize(rows.filter("NOT wins").select("doc_id", "text_md5").distinct(), "losers")
+    again = rows.filter("wins").groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_md5")
+    again = materialize(again, "again")
+    kept = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).alias("md5"))
+
+    def on(side):
+        return kept["id"].eqNullSafe(side["doc_id"]) & (kept["md5"] == side["text_md5"])
+
+    gone = small(losers)
+    out = kept.join(gone, on(gone), "left_anti")
+    if not again.isEmpty():
+        twice = small(again)
+        one = kept.join(twice, on(twice), "left_semi").dropDuplicates(["id", "md5"])
+        out = out.join(twice, on(twice), "left_anti").unionByName(one)
+    return out.select("row.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

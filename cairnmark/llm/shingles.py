@@ -12,25 +12,12 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _R = np.uint64(29)
 
 
-class WordHashes(dict):
-    """Hash of each word, remembered for up to `limit` words at a time."""
-
-    def __init__(self, limit: int = 200_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M2
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(data: bytes | None, words: WordHashes) -> np.ndarray:
+def shingles(data: bytes | None) -> np.ndarray:
     """Hash of each 5-word shingle in text order (A-Z lower-cased; words by ASCII white space).
 
     Fewer than five words make one shingle of all of them; no words make none.
@@ -39,7 +26,7 @@ def shingles(data: bytes | None, words: WordHashes) -> np.ndarray:
     n = len(found)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, found), np.uint64, n)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, n)
     k = min(SHINGLE, n)
     h = w[: n - k + 1] * _M1 + np.uint64(k)
     for i in range(1, k):
@@ -47,6 +34,12 @@ def shingles(data: bytes | None, words: WordHashes) -> np.ndarray:
     return mixed(h)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted values, each once."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def arrow_rows(batches, *columns: int) -> Iterator[tuple]:
     """Rows of Arrow batches as Python values, a bounded slice at a time."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
-from .shingles import WordHashes, arrow_rows, mixed, shingles
+from .shingles import arrow_rows, mixed, shingles
 
 #: Labelled rows that the insult lexicon is learned from, at most about so many (chosen by hash of the id).
 LABEL_ROWS = 20_000
@@ -169,9 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_un
 
     @F.pandas_udf("array<long>")
     def least(texts: pd.Series) -> pd.Series:
-        words, out = WordHashes(), []
+        out = []
         for x in texts:
-            h = shingles(x, words)
+            h = shingles(x)
             out.append([int(v.min().view(np.int64)) if len(v) else 0 for v in (h, mixed(h * np.uint64(3)))])
         return pd.Series(out)
 
