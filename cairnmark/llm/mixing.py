@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, n_buckets, n_words, ranked, running_sum, table
+from .common import WORD_SPLIT, materialize, n_buckets, n_words, ranked, running_sum, table
 
 #: A target stops at so many times its source's size.
 MAX_EPOCHS = 3
@@ -39,30 +39,66 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
     return src.select("source", F.col("source_size").cast("long").alias("source_size"), F.least(F.col("weight") * F.lit(level), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, payload: list[str] | None = None) -> DataFrame:
-    """Adds size, source_size, target and taken (words taken, repeats counted) to doc_id, source and payload columns.
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """docs with size, text_md5 and key (exponential, scaled by quality)."""
+    hashed = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    uniform = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") + 1) / F.lit(float(1 << 52))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.select("*", n_words(F.col("text")).alias("size"), F.md5(text.cast("binary")).alias("text_md5"))
+    return out.withColumn("key", -F.log(uniform) / quality(F.octet_length(text), F.col("size")))
+
+
+ORDER = ["key", "doc_id", "size", "text_md5"]
+
+
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """How many words of each row of docs the mix takes: (doc_id, source, size, source_size, target, taken, ...).
 
     Each source gives floor(target / size) whole epochs; the rest of its budget goes to documents in the order of
     the exponential keys -ln(u) / quality, u by hash of seed and doc_id, up to the budget: the last one in part.
     Null texts have no words, null sources are one source, null ids hash as such; equal rows tie and are alike, so
-    reruns agree. A table without words takes nothing; an empty one gives no rows.
+    reruns agree. A table without words takes nothing; an empty one gives no rows; other columns are ignored.
+    Also returned: text_md5, key, epochs, rest (the budget after whole epochs), before (words of earlier rows).
     """
-    payload = payload or []
-    uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(1 << 52))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "source", *[F.col(c).alias(f"p_{c}") for c in payload], n_words(F.col("text")).alias("size"), F.octet_length(text).alias("n_bytes"), F.md5(text.cast("binary")).alias("text_md5"), uniform.alias("u"))
-    base = base.withColumn("key", -F.log("u") / quality(F.col("n_bytes"), F.col("size"))).drop("u", "n_bytes")
-    base = materialize(base, "mix")
+    base = materialize(_keyed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix")
     targets = source_targets(base.select("source", "size"), weights, max_epochs)
     b = n_buckets(base.count())
     bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * b), F.lit(b - 1)).cast("int")
-    run = running_sum(base.withColumn("bucket", bucket), ["source"], "bucket", ["key", "doc_id", "size", "text_md5"], F.col("size"), "before")
+    run = running_sum(base.withColumn("bucket", bucket), ["source"], "bucket", ORDER, F.col("size"), "before")
     a, t = run.alias("a"), targets.alias("t")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    out = a.join(t, F.col("a.source").eqNullSafe(F.col("t.source"))).select("a.*", "t.source_size", "t.target")
-    return out.select("doc_id", "source", *[F.col(f"p_{c}").alias(c) for c in payload], "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), epochs.alias("epochs"), part.alias("part"))
+    out = a.join(t, F.col("a.source").eqNullSafe(F.col("t.source"))).select("a.*", "t.source_size", "t.target", epochs.alias("epochs"))
+    out = out.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return out.withColumn("taken", F.col("epochs") * F.col("size") + part).drop("bucket")
+
+
+def mixed_documents(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself, with the columns of docs: each row as often as it is taken whole, the last one of each source cut.
+
+    A cut text has the first words of its budget, joined by spaces, and its own n_chars; equal rows on the edge share
+    what is left. Rows without words are not taken. Only one number a source is joined to the documents.
+    """
+    taken = materialize(mix(docs, seed, weights, max_epochs), "taken")
+    order = F.struct(*ORDER)
+    edge = taken.filter("before + size > rest").groupBy("source").agg(F.min(order).alias("edge"))
+    plan = taken.groupBy("source").agg(F.first("epochs").alias("epochs"), F.first("rest").alias("rest")).alias("p")
+    plan = plan.join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left").select("p.*", "e.edge").alias("p")
+    at = taken.alias("t").join(plan, F.col("t.source").eqNullSafe(F.col("p.source"))).filter(F.struct(*[F.col(f"t.{c}").alias(c) for c in ORDER]).eqNullSafe(F.col("p.edge")))
+    share = at.groupBy("t.source").agg(F.floor((F.first("p.rest") - F.min("t.before")) / F.count(F.lit(1))).cast("long").alias("share")).alias("s")
+    plan = plan.join(share, F.col("p.source").eqNullSafe(F.col("s.source")), "left").select(F.col("p.source").alias("_source"), "p.epochs", "p.edge", F.coalesce("s.share", F.lit(0)).cast("long").alias("share"))
+    plan = materialize(plan, "plan")
+    rows = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source"), seed).alias("d")
+    mine = F.struct(*ORDER)
+    rows = rows.join(plan.alias("q"), F.col("d.source").eqNullSafe(F.col("q._source"))).filter("size > 0")
+    whole = F.col("epochs") + F.when(F.col("edge").isNull() | (mine < F.col("edge")), 1).otherwise(0)
+    part = F.when(mine.eqNullSafe(F.col("edge")), F.col("share")).otherwise(F.lit(0))
+    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
+    rows = rows.select("row", F.explode(parts).alias("cut"))
+    short = F.array_join(F.slice(F.filter(F.split("row.text", WORD_SPLIT), lambda x: x != ""), 1, F.col("cut").cast("int")), " ")
+    text = F.when(F.col("cut") > 0, short).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.when(F.col("cut") > 0, F.length(short).cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
