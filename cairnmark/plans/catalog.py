@@ -199,14 +199,13 @@ def fixpoint_flags(spark, sf_dir):
     return graph.propagate_flags(nodes, edges)
 
 
-@_query("SELECT DISTINCT l_orderkey % 970 AS node, CASE WHEN l_orderkey % 970 % 10 < 5 THEN l_orderkey % 970 - l_orderkey % 970 % 10 ELSE l_orderkey % 970 END AS scc FROM lineitem")
+@_query("SELECT event_id AS node, CASE WHEN event_id % 10 < 5 THEN event_id - event_id % 10 ELSE event_id END AS scc FROM events")
 def scc(spark, sf_dir):
-    # of each ten nodes, five make a ring and lead on to the other five, which make a chain
-    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 970).alias("a")).distinct()
-    k = F.col("a") % 10
-    nxt = F.when(k == 4, F.col("a") - 4).when(k == 9, F.lit(None)).otherwise(F.col("a") + 1)
-    edges = li.select(F.col("a").alias("src"), nxt.alias("dst")).unionByName(li.filter(k == 4).select(F.col("a").alias("src"), (F.col("a") + 1).alias("dst")))
-    return graph.strong_components(edges.filter("dst IS NOT NULL"))
+    # of each ten events, five make a ring and lead on to the other five, which make a chain
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("src"))
+    k = F.col("src") % 10
+    edges = e.select("src", F.explode(F.when(k == 4, F.array(F.col("src") - 4, F.col("src") + 1)).when(k < 9, F.array(F.col("src") + 1))).alias("dst"))
+    return graph.strong_components(edges)
 
 
 _OPEN, _CLOSE = "chr(123)", "chr(125)"
