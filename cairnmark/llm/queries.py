@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, html_text, jaccard, media, mixing, sharding, suffixes, toxicity, urls
+from . import chat, decontamination, html_text, jaccard, media, mixing, oracles, sharding, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -18,7 +18,9 @@ QUERIES = {
 }
 ORACLES = {
     "op3_mix": mixing.ORACLE,
+    "op4_ngram_jaccard": oracles.JACCARD,
     "op6_decontamination": decontamination.ORACLE,
+    "op7_suffix_dedup": oracles.REPEATS,
     "op8_url_filter": urls.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }
