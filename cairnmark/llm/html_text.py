@@ -46,6 +46,9 @@ BAD_NAMES = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies "
     "respond disqus related recommended widget toolbar search copyright disclaimer".split()
 )
+#: Words of names that begin so count too, such as commentlist or adverts2.
+BAD_BEGINNINGS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter", "cookie", "navbar", "navig", "sponsor", "popup")
+NAME_WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 MAIN_NAMES = frozenset("article-body articlebody post-content entry-content article-content story-body main-content".split())
 LONG_WORDS, SHORT_WORDS = 20, 10
 MUCH_STOP, LITTLE_STOP, MUCH_LINK = 0.2, 0.06, 0.4
@@ -64,17 +67,18 @@ def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
     bad, main = tag in BAD_TAGS or tag == "header" and not in_main, tag in ("article", "main")
     if attrs:
         for name, value in ATTR.findall(attrs):
-            name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
+            name, value = name.lower(), html.unescape(value.strip("\"'"))
             if name in ("class", "id", "role"):
-                for word in value.split():
+                for raw in value.split():
+                    word = raw.lower()
                     if word in MAIN_NAMES or name == "role" and word in ("main", "article"):
                         main = True
                     elif name == "role":
                         bad |= word in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
                     elif tag not in ("html", "body", "main", "article"):
-                        parts = re.split(r"[-_]+", word)
-                        bad |= any(p in BAD_NAMES for p in parts) or "header" in parts and not in_main
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                        parts = [p.lower() for p in NAME_WORDS.split(raw)]
+                        bad |= any(p in BAD_NAMES or p.startswith(BAD_BEGINNINGS) and p != "commentary" for p in parts) or "header" in parts and not in_main
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 bad = True
     return main, bad and not (main and tag in ("article", "main"))
 

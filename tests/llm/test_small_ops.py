@@ -260,6 +260,11 @@ def test_block_rules_without_article():
     assert html_text.main_text(page) == f"Head\n{para}\nYes.\n{para}"
 
 
+@pytest.mark.parametrize("attr", ["class=commentlist", "id='respond'", 'class="x sideBar"', "class=mainNav", "role=navigation", "style='DISPLAY : none'", "hidden", "aria-hidden=true", "class=ad_box"])
+def test_boilerplate_names(attr):
+    assert html_text.main_text(f"<main><p>Stay here.</p><div {attr}><p>Go.</p></div><p class=commentary>And here.</p></main>") == "Stay here.\nAnd here."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<p>x" * 3000, "<div>" * 5000 + "deep", "&#xFFFFFF;&bogus;", "<a title='>'>t</a>", "</p></div>"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
