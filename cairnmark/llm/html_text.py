@@ -76,7 +76,7 @@ def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                     elif name == "role":
                         bad |= word in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
                     elif tag not in ("html", "body", "main", "article"):
-                        parts = [p.lower() for p in NAME_WORDS.split(raw)]
+                        parts = [word, *(p.lower() for p in NAME_WORDS.split(raw))]
                         bad |= any(p in BAD_NAMES or p.startswith(BAD_BEGINNINGS) and p != "commentary" for p in parts) or "header" in parts and not in_main
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 bad = True
