@@ -225,7 +225,7 @@ _sql("deref_depth1", f"SELECT n_nationkey, {_NATION} AS json FROM {{nation}} LEF
 _sql("deref_depth2", f"SELECT c_custkey, {_map_json(name=_Q.format('c_name'), nation=_NATION)} AS json FROM {{customer}} LEFT JOIN {{nation}} ON c_nationkey = n_nationkey LEFT JOIN {{region}} ON n_regionkey = r_regionkey")
 _sql("json_props_get", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, coalesce(get_json_object(props, '$.none'), 'absent') AS missing FROM {events}",
      "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.none'), 'absent') AS missing FROM {events}")
-_sql("size_and_empty", "SELECT doc_id, octet_length(text) AS size, octet_length(text) = 0 AS empty FROM {documents}", "SELECT doc_id, strlen(text) AS size, strlen(text) = 0 AS empty FROM {documents}")
+_sql("size_and_empty", "SELECT doc_id, CAST(octet_length(text) AS BIGINT) AS size, octet_length(text) = 0 AS empty FROM {documents}", "SELECT doc_id, strlen(text) AS size, strlen(text) = 0 AS empty FROM {documents}")
 
 # --- candidates ---
 
@@ -505,7 +505,7 @@ def queue_gauges(spark, sf_dir):
     return queue.gauges(table(spark, sf_dir, "events").select(F.col("event_type").alias("func"), state.alias("state")))
 
 
-_sql("assignment_order", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END, event_id) AS place FROM {events}")
+_sql("assignment_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END, event_id) AS BIGINT) AS place FROM {events}")
 _sql("union_all_rows", "SELECT s_suppkey AS k, s_name AS name FROM {supplier} UNION ALL SELECT c_custkey, c_name FROM {customer}")
 
 
