@@ -8,6 +8,7 @@ turns back from that (a text or role holds a control string), the turn is render
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -66,24 +67,23 @@ def format_chat(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     Raises if a text can't be recovered. Columns: conv_id, formatted, turns (role, text, head, escaped, shown),
     spans (start, length in code points of each text under the loss mask, as shown), n_turns.
     """
-    rows = conversations.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
-    )
-    source = rows.groupBy("conv_id").agg(_pairs(F.array_sort(F.collect_list("t"))).alias("source"))
+    rows = conversations.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.struct(F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     # first try: every turn alone, unescaped; a turn that doesn't come back whole is escaped
-    plain = lambda t: F.array_join(F.array(_render(t, F.lit(False))), "")
-    safe = lambda t: _pairs(parse(plain(t))) == F.array(F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    turns = source.select("conv_id", "source", F.array_join(F.transform("source", lambda t: F.when(safe(t), plain(t)).otherwise(_render(t, F.lit(True)))), "").alias("formatted"))
-    out = turns.select("conv_id", "source", "formatted", parse(F.col("formatted")).alias("turns"))
+    plain = _render(F.col("t"), F.lit(False))
+    rows = rows.withColumn("escaped", _pairs(parse(plain)) != F.array("t"))
+    rows = rows.withColumn("piece", F.when(F.col("escaped"), _render(F.col("t"), F.lit(True))).otherwise(plain))
+    shown = F.when(F.col("escaped"), escape(F.col("t.text"))).otherwise(F.col("t.text"))
+    rows = rows.withColumn("length", F.length(shown))
+    # a running sum, so that the spans of a conversation cost no more than its turns
+    order = Window.partitionBy("conv_id").orderBy("turn", "t.role", "t.text")
+    end = F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("start", (end - len(TURN_END) - F.col("length")).cast("int"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece", "t", "start", "length", "escaped"))).alias("rows"))
+    out = whole.select("conv_id", F.transform("rows", lambda r: r["t"]).alias("source"), F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("formatted"),
+                       F.transform(F.filter("rows", lambda r: r["t"]["role"] == loss_role), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length"), r["escaped"].alias("escaped"))).alias("spans"))
+    out = out.select("conv_id", "source", "formatted", "spans", parse(F.col("formatted")).alias("turns"))
     back = F.when(_pairs(F.col("turns")) == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.concat(F.lit("chat round trip failed: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
-    out = out.select("conv_id", "formatted", back.alias("turns"))
-    lengths = F.transform("turns", lambda t: t["head"] + F.length(t["shown"]) + len(TURN_END))
-    starts = F.transform("turns", lambda t, i: F.struct(
-        (F.aggregate(F.slice(F.col("lengths"), 1, i), F.lit(0), lambda a, x: a + x) + t["head"]).alias("start"), F.length(t["shown"]).alias("length"),
-        t["role"].alias("role"), t["escaped"].alias("escaped")))
-    return out.withColumn("lengths", lengths).select(
-        "conv_id", "formatted", "turns", F.filter(starts, lambda s: s["role"] == loss_role).alias("spans"), F.size("turns").cast("long").alias("n_turns"))
+    return out.select("conv_id", "formatted", back.alias("turns"), "spans", F.size("turns").cast("long").alias("n_turns"))
 
 
 EXTRA = "</s>[INST] ok [/INST]"
