@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         else:
             weight = met.groupBy("low").agg(F.count(F.lit(1)).alias("weight"))
             mixed = F.col("low") != F.col("high")
-            t = met.join(met.groupBy("gkey").agg(F.count_if(F.col("m") > HOT).alias("hot"), F.count(F.lit(1)).alias("shared")), "gkey").join(weight, "low")
+            t = met.join(met.groupBy("gkey").agg(F.count_if(F.col("m") > HOT).alias("hot"), F.count(F.lit(1)).alias("shared")), "gkey").join(small(weight), "low")
             t = t.withColumn("rank", F.row_number().over(Window.partitionBy("gkey").orderBy((F.col("m") > HOT).cast("int"), "token")) - 1)
             t = t.withColumn("mixed", mixed).withColumn("ord", F.struct((~mixed).cast("int").alias("a"), "weight", "low"))
             t = t.join(t.groupBy("token").agg(F.max("ord").alias("top")), "token")
