@@ -83,6 +83,27 @@ def test_graph_components(spark):
     assert {r["node"]: r["label"] for r in got.collect()} == {x: root(x) for x in up}
 
 
+@pytest.mark.parametrize("reach", [1, 3])
+def test_components_of_a_long_chain(spark, reach):
+    rng = random.Random(reach)
+    names = [rng.getrandbits(63) - 2**62 for _ in range(2000)]  # like set keys: in no order along the chain
+    pairs = [(names[i], names[i + d]) for i in range(len(names)) for d in range(1, reach + 1) if i + d < len(names)]
+    got = graphs.components(spark.createDataFrame([*pairs, (5, 5), (8, 7), (7, 8)], "a long, b long").repartition(4))
+    assert {r["node"]: r["label"] for r in got.collect()} == dict.fromkeys(names, min(names)) | {5: 5, 7: 7, 8: 7}
+
+
+def test_version_chain_is_one_component(frame):
+    rng = random.Random(11)
+    words = prose(rng, 300, 5000).split(" ")
+    rows = []
+    for i in range(250):  # each version changes six words of the one before
+        rows.append((i, " ".join(words)))
+        for at in rng.sample(range(300), 6):
+            words[at] = f"v{i}x{at}"
+    rng.shuffle(rows)
+    assert {r["component_id"] for r in jaccard.near_duplicates(frame(rows)).collect()} == {c for *_, c in jaccard_components(rows)}
+
+
 def items_and_docs():
     rng = random.Random(7)
     items = [(i, prose(rng, rng.randint(5, 80))) for i in range(25)] + [(100, "tiny item"), (101, ""), (102, None), (3, "an id twice " + prose(rng, 10))]
