@@ -25,7 +25,7 @@ from .shingles import arrow_rows, mixed, shingles
 
 #: Labelled rows that the insult lexicon is learned from, at most about so many (chosen by hash of the id).
 LABEL_ROWS = 20_000
-#: Entries of the learned lexicon at most: the most significant ones.
+#: Entries of the learned lexicon at most, beside the seeds: the most significant ones.
 LEXICON_ROWS = 5_000
 PREFIXES = (4, 5, 6)
 #: A learned unit's rows: toxic ones at least, significance at least, others at most (one, or this part).
@@ -190,16 +190,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_un
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[u] for u in n], pa.int64())], ["unit", "n", "t"])
 
     counts = rows.select("text", "toxic").mapInArrow(count, "unit string, n long, t long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counts = counts.filter(F.col("t") >= F.when(F.col("unit") == "", 0).otherwise(MIN_TOXIC)).filter((F.col("unit") == "") | F.col("unit").isin(SEED_INSULTS) | (F.col("n") - F.col("t") <= F.greatest(F.lit(1.0), F.col("n") * MAX_OTHER)))
-    got = {r["unit"]: (r["n"], r["t"]) for r in counts.orderBy((F.col("unit") == "").desc(), (F.col("t") * F.col("t") / F.col("n")).desc(), "unit").limit(max_units).collect()}
+    always = (F.col("unit") == "") | F.col("unit").isin(SEED_INSULTS)  # what labels say of seeds counts, clean rows too
+    counts = counts.filter(always | (F.col("t") >= MIN_TOXIC) & (F.col("n") - F.col("t") <= F.greatest(F.lit(1.0), F.col("n") * MAX_OTHER)))
+    order = [always.desc(), (F.col("t") * F.col("t") / F.col("n")).desc(), "unit"]
+    got = {r["unit"]: (r["n"], r["t"]) for r in counts.orderBy(*order).limit(max_units + 1 + len(SEED_INSULTS)).collect()}
     n, t = got.pop("", (0, 0))
     base = (t + 1) / (n + 10)
-    lexicon = dict.fromkeys(SEED_INSULTS, SEED_WEIGHT)
-    for unit, (un, ut) in got.items():
+    lexicon = {}
+    for unit in SEED_INSULTS:
+        un, ut = got.pop(unit, (0, 0))
+        lexicon[unit] = (ut + SEED_WEIGHT * SEED_ROWS) / (un + SEED_ROWS)
+    for unit, (un, ut) in list(got.items())[:max_units]:
         z = (ut - un * base) / math.sqrt(un * base * (1 - base))
-        if unit in lexicon:
-            lexicon[unit] = (ut + SEED_WEIGHT * SEED_ROWS) / (un + SEED_ROWS)
-        elif z >= MIN_Z:
+        if z >= MIN_Z:
             lexicon[unit] = ut / (un + 1)
     return Model(lexicon, min(0.4, base / 4))
 

@@ -205,3 +205,11 @@ def test_held_out_rows_are_not_learned(spark):
     assert word not in model.lexicon
 
 
+@pytest.mark.parametrize("max_units", [5000, 1])
+def test_labels_clear_seed_words(spark, max_units):
+    docs = [(i, f"a text of {'trash' if i % 2 else 'clown'} number w{i} x{i} y{i}") for i in range(1, 601)]
+    docs += [(i, f"this is moron talk w{i} x{i} and zzword") for i in range(601, 701)]
+    labels = spark.createDataFrame([(i, int(i > 600 or i in (2, 4))) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_units=max_units)
+    assert model.score("take out the trash") < 0.5 and model.score("a clown") < 0.5
+    assert model.score("a moron") > 0.9 and model.lexicon["scum"] == pytest.approx(toxicity.SEED_WEIGHT)
