@@ -2,10 +2,11 @@
 
 Words are mapped to classes (insult, threat, target, negation, reporting verb, quote, filler, other). Small
 transducers read the classes: one gives insults their weight and raises it near a target, one turns a threat verb
-with a target into a match, one lets a negation that reaches an insult over fillers take its weight away, one
-discounts what stands in quotes after a reporting verb. They are composed into one machine that scores each clause
-with a match; a document's score joins those of its clauses. Insults are a short seed list and the words and word
-beginnings that a bounded sample of labelled rows shows to be toxic.
+with a target into a match, one lets a negation that reaches an insult or a threat verb over fillers take its weight
+away, one discounts what stands in quotes after a reporting verb. They are composed into one machine that scores each
+clause with a match; a document's score joins those of its clauses, whose odds shrink as a long document grows longer.
+Insults are a short seed list and the words and word beginnings that a bounded sample of labelled rows shows to be
+toxic; the same rows weigh each pair of a threat verb and a target.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ MIN_TOXIC, MIN_Z, MAX_OTHER = 3, 6.0, 0.05
 
 SEED_INSULTS = "idiot moron stupid pathetic worthless disgusting scum loser clown trash imbecile dumbass scumbag bastard asshole bitch retard cretin degenerate subhuman vermin".split()
 SEED_WEIGHT, SEED_ROWS = 0.8, 2.0
+#: Weight of a threat that labels say nothing of, and the rows that it counts as.
+THREAT_WEIGHT, THREAT_ROWS = 0.7, 2.0
+#: In a text of more characters than this the odds of each clause shrink in proportion.
+LONG_TEXT = 1_500
 THREATS = "kill hurt destroy strangle stab shoot murder beat crush smash burn hang slaughter".split()
 TARGETS = "you your yours yourself u he him she her they them these those people everyone someone tu te toi vous du dich sie ihr usted ustedes".split()
 NEGATIONS = "not never isn't aren't wasn't weren't don't doesn't didn't cannot can't won't hardly nicht kein keine jamais nunca".split()
@@ -41,6 +46,7 @@ FILLERS = "a an the is are was were be been very so such really truly too that a
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
 CLAUSE = re.compile(r"[^.!?;\n]+")
+THREAT_WORD = re.compile("|".join(THREATS))
 
 
 class Transducer:
@@ -81,10 +87,12 @@ def near(span: int, mark: str, on: str, near_out: float, far_out: float) -> Tran
 
 
 AIMED = near(4, "P", "I", 0.5, 0.0)  # part of the doubt that a target takes away
-THREAT = near(3, "T", "P", 0.7, 0.0)  # a target soon after a threat verb
+THREAT = near(3, "T", "P", 1.0, 0.0)  # a target soon after a threat verb
 NEGATED = Transducer([
-    {"N": (1, None), "I": (0, 1.0), "*": (0, None)},
-    {"N": (1, None), "F": (1, None), "I": (0, 0.1), "*": (0, None)},
+    {"N": (1, None), "I": (0, 1.0), "P": (0, 1.0), "*": (0, None)},
+    {"N": (1, None), "F": (1, None), "I": (0, 0.1), "T": (2, None), "P": (0, 1.0), "*": (0, None)},
+    {"I": (2, 1.0), "P": (3, 0.1), "*": (2, None)},  # a negated threat verb; others may be joined to it
+    {"N": (1, None), "I": (3, 1.0), "P": (3, 0.1), "T": (0, None), "*": (3, None)},  # its targets
 ])
 REPORTED = Transducer([
     {"R": (1, 1.0), "*": (0, 1.0)},
@@ -96,12 +104,15 @@ WORD_CLASS = {w: c for c, ws in (("F", FILLERS), ("R", REPORTS), ("N", NEGATIONS
 
 
 class Model:
-    """A lexicon {unit: weight}; a unit ending in * stands for words that begin so. base: score without a match."""
+    """A lexicon {unit: weight}; a unit ending in * stands for words that begin so. base: score without a match.
 
-    def __init__(self, lexicon: dict[str, float], base: float):
+    threats: weights of "verb target"; pairs that aren't there have THREAT_WEIGHT.
+    """
+
+    def __init__(self, lexicon: dict[str, float], base: float, threats: dict[str, float] | None = None):
         import ahocorasick
 
-        self.lexicon, self.base, self.auto = lexicon, base, ahocorasick.Automaton()
+        self.lexicon, self.base, self.threats, self.auto = lexicon, base, threats or {}, ahocorasick.Automaton()
         for unit, w in lexicon.items():
             self.auto.add_word(unit.rstrip("*"), (unit, w))
         for w in THREATS:
@@ -110,14 +121,17 @@ class Model:
         self.auto.make_automaton()
 
     def clause(self, words: list[str], weights: dict[str, float]) -> float:
-        state, clean = 0, 1.0
+        state, clean, verb = 0, 1.0, ""
         for w in words:
             own = weights.get(w, 0.0)
-            state, (aimed, threat, negated, reported) = GRAMMAR.arcs[state]["I" if own else WORD_CLASS.get(w, "*")]
+            cls = "I" if own else WORD_CLASS.get(w, "*")
+            state, (aimed, threat, negated, reported) = GRAMMAR.arcs[state][cls]
+            if cls == "T":
+                verb = w
             if own:
                 clean *= 1 - (1 - (1 - own) * (1 - aimed)) * negated * reported
             elif threat:
-                clean *= 1 - threat * reported
+                clean *= 1 - threat * self.threats.get(f"{verb} {w}", THREAT_WEIGHT) * negated * reported
         return 1 - clean
 
     def score(self, text: str | None) -> float:
@@ -142,10 +156,12 @@ class Model:
         clean = 1 - self.base
         if hits:
             hits.sort()
+            times = max(1.0, size / LONG_TEXT)  # as often is such a clause met by chance
             for m in CLAUSE.finditer(low):
                 i = bisect.bisect_left(hits, m.start())
                 if i < len(hits) and hits[i] < m.end():
-                    clean *= 1 - self.clause(WORD.findall(m[0]), weights)
+                    p = self.clause(WORD.findall(m[0]), weights)
+                    clean *= 1 - p / (p + (1 - p) * times)
                     if clean < 1e-9:
                         break
         return 1 - clean
@@ -156,6 +172,37 @@ def _units(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
 
 
+def _threats(text: str) -> set[str]:
+    """The "verb target" of every threat that is neither negated nor reported, and "verb " and " " of them."""
+    out = set()
+    for m in CLAUSE.finditer(text.lower()):
+        state, verb = 0, ""
+        if not THREAT_WORD.search(m[0]):
+            continue
+        for w in WORD.findall(m[0]):
+            cls = WORD_CLASS.get(w, "*")
+            state, (_, threat, negated, reported) = GRAMMAR.arcs[state][cls]
+            if cls == "T":
+                verb = w
+            if threat and negated == reported == 1.0:
+                out |= {f"{verb} {w}", f"{verb} ", " "}
+    return out
+
+
+def threat_weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Weights of all pairs from counts (rows, toxic ones) of units of _threats: their labelled toxic share.
+
+    A pair of few rows leans on the share of its verb and that on the share of all threats; what other pairs show can
+    lower but never raise a pair that has no rows.
+    """
+    def share(unit, before):
+        n, t = counts.get(unit, (0, 0))
+        return (t + min(THREAT_WEIGHT, before) * THREAT_ROWS) / (n + THREAT_ROWS)
+
+    every = share(" ", THREAT_WEIGHT)
+    return {f"{v} {w}": share(f"{v} {w}", share(f"{v} ", every)) for v in THREATS for w in TARGETS}
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_units: int = LEXICON_ROWS) -> Model:
     """The model learned from labelled rows whose crc32(doc_id as text) mod 5 isn't 0: at most about max_rows of them.
 
@@ -183,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_un
         n, t = Counter(), Counter()
         for text, toxic in arrow_rows(batches, 0, 1):
             own = _units(text)
+            own |= _threats(text)
             own.add("")  # rows
             n.update(own)
             if toxic:
@@ -190,25 +238,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_un
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[u] for u in n], pa.int64())], ["unit", "n", "t"])
 
     counts = rows.select("text", "toxic").mapInArrow(count, "unit string, n long, t long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    always = (F.col("unit") == "") | F.col("unit").isin(SEED_INSULTS)  # what labels say of seeds counts, clean rows too
+    # what labels say of seeds and threats counts, clean rows too; there are no more of them than lists allow
+    always = (F.col("unit") == "") | F.col("unit").isin(SEED_INSULTS) | F.col("unit").contains(" ")
+    n_always = 2 + len(SEED_INSULTS) + len(THREATS) * (1 + len(TARGETS))
     counts = counts.filter(always | (F.col("t") >= MIN_TOXIC) & (F.col("n") - F.col("t") <= F.greatest(F.lit(1.0), F.col("n") * MAX_OTHER)))
     order = [always.desc(), (F.col("t") * F.col("t") / F.col("n")).desc(), "unit"]
-    got = {r["unit"]: (r["n"], r["t"]) for r in counts.orderBy(*order).limit(max_units + 1 + len(SEED_INSULTS)).collect()}
+    got = {r["unit"]: (r["n"], r["t"]) for r in counts.orderBy(*order).limit(max_units + n_always).collect()}
     n, t = got.pop("", (0, 0))
     base = (t + 1) / (n + 10)
     lexicon = {}
     for unit in SEED_INSULTS:
         un, ut = got.pop(unit, (0, 0))
         lexicon[unit] = (ut + SEED_WEIGHT * SEED_ROWS) / (un + SEED_ROWS)
+    threats = threat_weights({unit: got.pop(unit) for unit in list(got) if " " in unit})
     for unit, (un, ut) in list(got.items())[:max_units]:
         z = (ut - un * base) / math.sqrt(un * base * (1 - base))
         if z >= MIN_Z:
             lexicon[unit] = ut / (un + 1)
-    return Model(lexicon, min(0.4, base / 4))
+    return Model(lexicon, min(0.4, base / 4), threats)
 
 
 def score_column(model: Model, spark: SparkSession, text: Column) -> Column:
-    shared = spark.sparkContext.broadcast((model.lexicon, model.base))
+    shared = spark.sparkContext.broadcast((model.lexicon, model.base, model.threats))
     held: dict = {}
 
     @F.pandas_udf("double")

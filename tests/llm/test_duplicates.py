@@ -213,3 +213,17 @@ def test_labels_clear_seed_words(spark, max_units):
     model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_units=max_units)
     assert model.score("take out the trash") < 0.5 and model.score("a clown") < 0.5
     assert model.score("a moron") > 0.9 and model.lexicon["scum"] == pytest.approx(toxicity.SEED_WEIGHT)
+
+
+def test_threats_are_weighed_negated_and_joined_by_length(spark):
+    docs = [(i, f"we beat them 3-1 in game w{i} x{i} y{i}") for i in range(1, 301)]
+    docs += [(i, f"i will kill you w{i} x{i} y{i}") for i in range(301, 401)]
+    labels = spark.createDataFrame([(i, int(i > 300)) for i, _ in docs], "doc_id long, toxic int")
+    s = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels).score
+    assert s("yesterday they beat them 5-2") < 0.5 and s("he will kill you") > 0.9
+    s = toxicity.Model({"idiot": 0.8}, 0.02).score
+    assert s("don't hurt them") < 0.5 and s("never hurt or kill those people") < 0.5
+    assert s("not. hurt them") > 0.5 and s("i do not hurt people i kill them") > 0.5 and s("kill them") > 0.5
+    clean = "a clean sentence about the garden. " * 300
+    assert s(clean + "hang her coat. " + clean) < 0.5 and s(clean + "you idiot. " + clean) < 0.5
+    assert s("idiot. kill them. " * 300) > 0.9 and s(clean + "you idiot. i will kill you. " * 20) > 0.9
