@@ -48,23 +48,43 @@ BAD_NAMES = frozenset(
 )
 #: Words of names that begin so count too, such as commentlist or adverts2.
 BAD_BEGINNINGS = ("comment", "advert", "sidebar", "breadcrumb", "newsletter", "cookie", "navbar", "navig", "sponsor", "popup")
+#: Names of layouts and topics too: as part of a longer name they are no more than a hint, as are all names in SWITCHES.
+HINT_NAMES = frozenset(
+    "sidebar nav navbar navigation menu header banner promo promotion sponsor sponsored advertising widget toolbar search "
+    "related recommended notice notices alert share sharing social login overlay copyright".split()
+)
+SWITCHES = frozenset("has no with without hide".split())
 NAME_WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 MAIN_NAMES = frozenset("article-body articlebody post-content entry-content article-content story-body main-content".split())
 LONG_WORDS, SHORT_WORDS = 20, 10
 MUCH_STOP, LITTLE_STOP, MUCH_LINK = 0.2, 0.06, 0.4
 GOOD, BAD, OPEN = 1, -1, 0
+#: How surely an element is boilerplate.
+HINT, FIRM, HIDDEN = 1, 2, 3
 
 
 class Block:
-    __slots__ = ("parts", "link_chars", "main", "bad", "heading")
+    __slots__ = ("parts", "link_chars", "main", "bad", "outer", "hint", "heading")
+
+    def __init__(self, main: bool, bad: int, outer: bool, hint: int, heading: bool):
+        self.parts, self.link_chars, self.main, self.bad, self.outer, self.hint, self.heading = [], 0, main, bad, outer, hint, heading
+
 
-    def __init__(self, main: bool, bad: bool, heading: bool):
-        self.parts, self.link_chars, self.main, self.bad, self.heading = [], 0, main, bad, heading
+def _name_level(raw: str, in_main: bool) -> int:
+    """0, HINT or FIRM of one word of a class or id."""
+    word, parts = raw.lower(), [p.lower() for p in NAME_WORDS.split(raw)]
+    if word in BAD_NAMES or word == "header" and not in_main:
+        return FIRM
+    found = [p for p in (word, *parts) if p in BAD_NAMES or p.startswith(BAD_BEGINNINGS) and p != "commentary" or p == "header" and not in_main]
+    if not found:
+        return 0
+    own = [p for p in found if p != word] or found
+    return HINT if parts[0] in SWITCHES or all(p in HINT_NAMES or p.startswith(("sidebar", "navbar", "navig")) for p in own) else FIRM
 
 
-def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """(opens the article, opens boilerplate) of a start tag."""
-    bad, main = tag in BAD_TAGS or tag == "header" and not in_main, tag in ("article", "main")
+def _flags(tag: str, attrs: str, in_main: bool) -> tuple[int, int]:
+    """(opens the article: 1, or 2 if it says it is the main one; opens boilerplate: 0, HINT, FIRM or HIDDEN)."""
+    bad, main = FIRM * (tag in BAD_TAGS or tag == "header" and not in_main), 2 * (tag == "main") or int(tag == "article")
     if attrs:
         for name, value in ATTR.findall(attrs):
             name, value = name.lower(), html.unescape(value.strip("\"'"))
@@ -72,29 +92,28 @@ def _flags(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 for raw in value.split():
                     word = raw.lower()
                     if word in MAIN_NAMES or name == "role" and word in ("main", "article"):
-                        main = True
+                        main = max(main, 2 if name == "role" and word == "main" else 1)
                     elif name == "role":
-                        bad |= word in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
+                        bad = max(bad, FIRM * (word in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")))
                     elif tag not in ("html", "body", "main", "article"):
-                        parts = [word, *(p.lower() for p in NAME_WORDS.split(raw))]
-                        bad |= any(p in BAD_NAMES or p.startswith(BAD_BEGINNINGS) and p != "commentary" for p in parts) or "header" in parts and not in_main
+                        bad = max(bad, _name_level(raw, in_main))
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                bad = True
-    return main, bad and not (main and tag in ("article", "main"))
+                bad = HIDDEN
+    return main, 0 if main and (tag in ("article", "main") or bad == HINT) else bad
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, article, boilerplate
-    links, at, now = 0, 0, None
+    # tag, article, boilerplate within the article, article within boilerplate, number of the innermost hint
+    stack: list[tuple[str, bool, int, bool, int]] = []
+    links, at, now, hints = 0, 0, None, 0
 
     def add(raw: str):
         nonlocal now
         if raw:
             if now is None:
-                main, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                now = Block(main, bad, any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack[-3:]))
+                now = Block(*(stack[-1][1:] if stack else (False, 0, False, 0)), any(f[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for f in stack[-3:]))
                 out.append(now)
             text = html.unescape(raw)
             now.parts.append(text)
@@ -128,44 +147,65 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
-        main, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        opens_main, opens_bad = _flags(tag, attrs, main)
+        opens_main, opens_bad = _flags(tag, attrs, bool(stack) and stack[-1][1])
         if block:
             if stack and stack[-1][0] == "p":
                 stack.pop()
             if tag in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[tag]:
                 stack.pop()
-            main, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if block or opens_bad and not attrs.rstrip().endswith("/"):
             if opens_bad and not block:
                 now = None
-            stack.append((tag, main or opens_main, bad or opens_bad))
+            main, bad, outer, hint = stack[-1][1:] if stack else (False, 0, False, 0)
+            if opens_main and bad < HIDDEN:  # what names and tags around an article say is no more than a hint at it
+                outer = opens_main < 2 and (outer or bad == FIRM)
+                bad = hint = 0
+            if opens_bad == HINT and bad <= HINT:
+                hints += 1
+                hint = hints
+            stack.append((tag, main or bool(opens_main), max(bad, opens_bad), outer, hint))
     add(page[at:])
     return out
 
 
 def classify(page: str) -> list[tuple[str, int]]:
-    """(text, GOOD or BAD) of every block that has text."""
+    """(text, GOOD or BAD) of every block that has text.
+
+    Articles that stand in boilerplate, such as teasers and comments, are read only if nothing else is good.
+    """
     found = []
     for b in blocks(page):
         text = " ".join("".join(b.parts).split())
         if text:
             found.append((b, text))
-    article = any(b.main and not b.bad for b, _ in found)
-    kinds = []
+    out = _classify(found, False)
+    if any(b.outer for b, _ in found) and all(k == BAD for _, k in out):
+        out = _classify(found, True)
+    return out
+
+
+def _classify(found: list[tuple[Block, str]], any_article: bool) -> list[tuple[str, int]]:
+    facts, free = [], {0}
     for b, text in found:
         words = text.split()
         link = b.link_chars / max(1, sum(map(len, words)))
         stop = sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if b.bad:
+        facts.append((len(words), link, stop))
+        if len(words) >= LONG_WORDS and stop >= MUCH_STOP and link <= MUCH_LINK:
+            free.add(b.hint)  # running text overrules the hint for its whole element
+    bads = [b.bad >= FIRM or b.hint not in free or b.outer and not any_article for b, _ in found]
+    article = any(b.main and not bad for (b, _), bad in zip(found, bads, strict=True))
+    kinds = []
+    for (b, _), bad, (n_words, link, stop) in zip(found, bads, facts, strict=True):
+        if bad:
             kind = BAD
         elif article:
-            kind = BAD if not b.main else OPEN if link > 0.9 and len(words) < SHORT_WORDS else GOOD
+            kind = BAD if not b.main else OPEN if link > 0.9 and n_words < SHORT_WORDS else GOOD
         elif link > MUCH_LINK:
             kind = BAD
-        elif len(words) >= LONG_WORDS:
+        elif n_words >= LONG_WORDS:
             kind = GOOD if stop >= LITTLE_STOP else OPEN
-        elif len(words) >= SHORT_WORDS and stop >= MUCH_STOP:
+        elif n_words >= SHORT_WORDS and stop >= MUCH_STOP:
             kind = GOOD
         else:
             kind = OPEN

@@ -265,6 +265,29 @@ def test_boilerplate_names(attr):
     assert html_text.main_text(f"<main><p>Stay here.</p><div {attr}><p>Go.</p></div><p class=commentary>And here.</p></main>") == "Stay here.\nAnd here."
 
 
+RUNNING = "It was the best of times and it was the worst of times for all of the people in the town that day and in the night."
+
+
+@pytest.mark.parametrize("attr", ["class='page has-sidebar'", "class=no-sidebar", "class=elementor-widget-container", "class=search-results", "class=category-advertising", "id=related-work", "class=no-comments", "id=menu", "class=widget", "class=hasSidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "div role=main", "div class=entry-content"])
+def test_names_around_an_article(attr, inner):
+    tag = inner.split()[0]
+    page = f"<div {attr}><{inner}><h2>Head</h2><p>{RUNNING}</p><p>Short.</p><div class=ad-box>Buy</div></{tag}></div>"
+    assert html_text.main_text(page) == f"Head\n{RUNNING}\nShort."
+
+
+def test_articles_in_boilerplate():
+    around = f"<section id=comments><article><p>{RUNNING} Says one.</p></article></section><aside><article><p>{RUNNING} Read on.</p></article></aside>"
+    assert html_text.main_text(f"<article><p>{RUNNING}</p></article>{around}") == RUNNING
+    assert html_text.main_text(f"<form id=aspnetForm><article><p>{RUNNING}</p></article></form>") == RUNNING
+    assert html_text.main_text(f"<div hidden><main><p>{RUNNING}</p></main></div><p>{RUNNING} Seen.</p>") == f"{RUNNING} Seen."
+
+
+def test_running_text_overrules_a_hint():
+    page = f"<div class=has-sidebar><h2>Head</h2><p>{RUNNING}</p><div class=sidebar-left><p>Left out.</p></div></div><div class=search-box><p>Find</p></div>"
+    assert html_text.main_text(page) == f"Head\n{RUNNING}"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<p>x" * 3000, "<div>" * 5000 + "deep", "&#xFFFFFF;&bogus;", "<a title='>'>t</a>", "</p></div>"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
