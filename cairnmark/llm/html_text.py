@@ -1,8 +1,9 @@
 """Main text of HTML pages by two-pass block rules.
 
-Pass one classifies each block by where it stands (containers of the article, of boilerplate), its length, link
-density and stop-word density; short blocks that these don't decide stay open. Pass two gives every open block the
-class of the nearest decided one.
+Pass one classifies each block by its length, link density and stop-word density; containers of boilerplate rule a
+block out, and an article that holds most of the running text is a prior: less is asked inside and more outside. Short
+blocks that these don't decide stay open. Pass two gives every open block the class of the nearest decided one, on its
+own side of the article.
 """
 
 from __future__ import annotations
@@ -194,49 +195,82 @@ def _classify(found: list[tuple[Block, str]], any_article: bool) -> list[tuple[s
         if len(words) >= LONG_WORDS and stop >= MUCH_STOP and link <= MUCH_LINK:
             free.add(b.hint)  # running text overrules the hint for its whole element
     bads = [b.bad >= FIRM or b.hint not in free or b.outer and not any_article for b, _ in found]
-    article = any(b.main and not bad for (b, _), bad in zip(found, bads, strict=True))
-    kinds = []
-    for (b, _), bad, (n_words, link, stop) in zip(found, bads, facts, strict=True):
-        if bad:
-            kind = BAD
-        elif article:
-            kind = BAD if not b.main else OPEN if link > 0.9 and n_words < SHORT_WORDS else GOOD
-        elif link > MUCH_LINK:
-            kind = BAD
-        elif n_words >= LONG_WORDS:
-            kind = GOOD if stop >= LITTLE_STOP else OPEN
-        elif n_words >= SHORT_WORDS and stop >= MUCH_STOP:
-            kind = GOOD
-        else:
-            kind = OPEN
-        kinds.append(kind)
-    # distance to, and class of, the nearest decided block on either side
-    n, before, after = len(kinds), [], []
-    last = None
-    for i, k in enumerate(kinds):
-        if k:
-            last = i
-        before.append(last)
+    plain = [BAD if bad else _kind(*f) for bad, f in zip(bads, facts, strict=True)]
+    inside = [b.main and not bad for (b, _), bad in zip(found, bads, strict=True)]
+    mass = [sum(f[0] for k, own, f in zip(plain, inside, facts, strict=True) if k == GOOD and own == side) for side in (True, False)]
+    if not any(inside) or mass[1] > mass[0]:  # no article, or one that holds less text than stands elsewhere
+        return _texts(found, _settled(found, plain, list(range(len(found))), None))
+    # the article is a prior: less is asked of blocks in it, and more of those outside
+    kinds = [BAD if bad else _kind_inside(*f) if own else _kind_outside(*f) for bad, own, f in zip(bads, inside, facts, strict=True)]
+    run: list[int] = []
+    for i in [*range(len(found)), -1]:
+        if i >= 0 and inside[i] and facts[i][1] > 0.9 and not found[i][0].heading:
+            run.append(i)
+            continue
+        if len(run) > 1 and sum(facts[j][0] for j in run) >= SHORT_WORDS:  # a list of links
+            for j in run:
+                kinds[j] = BAD
+        run = []
+    for side, default in ((True, GOOD), (False, BAD)):
+        kinds = _settled(found, kinds, [i for i, bad in enumerate(bads) if not bad and inside[i] == side], default)
+    return _texts(found, kinds)
+
+
+def _kind(n_words: int, link: float, stop: float) -> int:
+    if link > MUCH_LINK:
+        return BAD
+    if n_words >= LONG_WORDS:
+        return GOOD if stop >= LITTLE_STOP else OPEN
+    return GOOD if n_words >= SHORT_WORDS and stop >= MUCH_STOP else OPEN
+
+
+def _kind_inside(n_words: int, link: float, stop: float) -> int:
+    if link > (1.5 * MUCH_LINK if stop >= MUCH_STOP else MUCH_LINK):
+        return BAD if n_words >= SHORT_WORDS else OPEN
+    return _kind(n_words, min(link, MUCH_LINK), stop)
+
+
+def _kind_outside(n_words: int, link: float, stop: float) -> int:
+    if n_words < SHORT_WORDS and not link:
+        return OPEN
+    return GOOD if n_words >= 2 * LONG_WORDS and stop >= MUCH_STOP and link <= MUCH_LINK / 2 else BAD
+
+
+def _texts(found: list[tuple[Block, str]], kinds: list[int]) -> list[tuple[str, int]]:
+    return [(text, k) for (_, text), k in zip(found, kinds, strict=True)]
+
+
+def _settled(found: list[tuple[Block, str]], kinds: list[int], own: list[int], prior: int | None) -> list[int]:
+    """kinds, where open blocks of those numbered in own have the class of the nearest decided ones of them.
+
+    prior: class of blocks without such. Where it is GOOD, one good side is enough for a block without links (a
+    heading takes the nearest, and of equally near ones the following); where it is BAD, ties are bad.
+    """
+    out = list(kinds)
+    before, after, last = {}, {}, None
+    for at, i in enumerate(own):
+        if kinds[i]:
+            last = at
+        before[i] = last
     last = None
-    for i in range(n - 1, -1, -1):
+    for at in range(len(own) - 1, -1, -1):
+        if kinds[own[at]]:
+            last = at
+        after[own[at]] = last
+    for at, i in enumerate(own):
         if kinds[i]:
-            last = i
-        after.append(last)
-    after.reverse()
-    out = []
-    for i, (b, text) in enumerate(found):
-        k = kinds[i]
-        if not k:
-            p, q = before[i], after[i]
-            if p is None and q is None:
-                k = BAD if b.link_chars else GOOD
-            elif p is None or q is not None and (q - i < i - p or q - i == i - p and b.heading):
-                k = kinds[q]
-            elif q is None or i - p < q - i:
-                k = kinds[p]
-            else:
-                k = max(kinds[p], kinds[q])
-        out.append((text, k))
+            continue
+        b, p, q = found[i][0], before[i], after[i]
+        if p is None and q is None:
+            out[i] = prior or (BAD if b.link_chars else GOOD)
+        elif prior == GOOD and not b.link_chars and not (b.heading and q is not None):
+            out[i] = max(kinds[own[x]] for x in (p, q) if x is not None)
+        elif p is None or q is not None and (q - at < at - p or q - at == at - p and b.heading):
+            out[i] = kinds[own[q]]
+        elif q is None or at - p < q - at:
+            out[i] = kinds[own[p]]
+        else:
+            out[i] = (min if prior == BAD else max)(kinds[own[p]], kinds[own[q]])
     return out
 
 

@@ -288,6 +288,26 @@ def test_running_text_overrules_a_hint():
     assert html_text.main_text(page) == f"Head\n{RUNNING}"
 
 
+def test_text_beside_teaser_articles():
+    cards = "".join(f"<article><h3><a href={i}>Card {i}</a></h3><p>Read the story.</p></article>" for i in range(4))
+    page = f"<div><h1>Head</h1><p>{RUNNING}</p><p>{RUNNING} Again.</p><p>Short.</p><p>{RUNNING} And again.</p></div><div>{cards}</div>"
+    got = html_text.main_text(page).split("\n")
+    assert [t for t in got if t == "Head" or t == "Short." or t.startswith(RUNNING)] == ["Head", RUNNING, RUNNING + " Again.", "Short.", RUNNING + " And again."]
+    assert not any("Card 3" in t for t in got)
+
+
+def test_block_rules_within_main():
+    links = " ".join(f"<a href={i}>Link number {i}</a>" for i in range(6))
+    items = "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(6))
+    page = f"<main><h1>Head</h1><p>{RUNNING}</p><div>{links}</div><p>See <a href=x>there</a>.</p><p>{RUNNING} End.</p><ul>{items}</ul><p>Fin.</p><p>{RUNNING} Last.</p></main>"
+    assert html_text.main_text(page) == f"Head\n{RUNNING}\nSee there.\n{RUNNING} End.\nFin.\n{RUNNING} Last."
+
+
+def test_long_text_beside_an_article():
+    page = f"<div><h2>Lead</h2><p>{RUNNING} {RUNNING}</p></div><p>Legal terms apply here.</p><article>{f'<p>{RUNNING}</p>' * 4}</article><div><a href=1>More</a></div><p>{RUNNING}</p>"
+    assert html_text.main_text(page).split("\n") == ["Lead", f"{RUNNING} {RUNNING}", *[RUNNING] * 4]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<p>x" * 3000, "<div>" * 5000 + "deep", "&#xFFFFFF;&bogus;", "<a title='>'>t</a>", "</p></div>"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
