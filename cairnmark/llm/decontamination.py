@@ -4,6 +4,9 @@ An item with m shingles may miss at most m - ceil(0.8 m) of them, so of its bott
 k = m - ceil(0.8 m) + 1 values at least one lies in any document that contains it: long documents are probed with
 all their shingles, whatever their size, and no contained item is lost. Items are partitioned by size (powers of
 two); a document probes only the partitions whose items it is large enough to hold.
+
+Limit: an item of fewer than five words is one shingle of all its words, as in the SQL, so it is found only in
+documents of just those words, never inside a longer one.
 """
 
 from __future__ import annotations
