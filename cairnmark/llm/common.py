@@ -4,15 +4,34 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from cairnmark.session import materialize, shared_dir, table  # noqa: F401
 
+#: A frame is broadcast only if its counted bytes are no more than this.
+BROADCAST_BYTES = 64 << 20
 #: Rows that one window group of a two-level running sum holds on average.
 BUCKET_ROWS = 20_000
 
 
+def n_bytes(df: DataFrame) -> int:
+    """Bytes of the values of df: eight for each number, eight and the counted length for all else."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        value = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+            text = value if isinstance(f.dataType, (T.StringType, T.BinaryType)) else value.cast("string")
+            width = width + F.coalesce(F.octet_length(text), F.lit(0))
+        width = width + 8
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its counted bytes are few enough; larger ones are joined by shuffling."""
+    return F.broadcast(df) if n_bytes(df) <= BROADCAST_BYTES else df
+
+
 def n_buckets(rows: int, groups: int = 1) -> int:
     """How many buckets keep a window group at about BUCKET_ROWS rows: grows with the table."""
     return max(1, math.ceil(rows / BUCKET_ROWS / max(1, groups)))

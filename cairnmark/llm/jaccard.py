@@ -11,6 +11,10 @@ Pairs are first tried in stars: each group of a shingle against the one whose pr
 edited copies is the one edited least. What that connects needs no further pairs: all pairs that remain between
 different components are verified at last, where of each shingle only groups outside its largest component look for
 others. So no component is lost, and copies never make pairs by the square.
+
+Texts edited a little too much to link have many prefix shingles in common all the same. A parity signature tells them
+apart before any text is read: each shingle flips one of SIGNATURE bits, so that two sets differ in at least as many
+shingles as their signatures do in bits, and sets that differ in more than linking ones may are no pair.
 """
 
 from __future__ import annotations
@@ -22,27 +26,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import materialize, small, table
 from .graphs import components
 from .shingles import arrow_rows, at_least, distinct, shingles
 
 PERCENT = 80
 SKETCH_BITS = 22
-#: A frame is broadcast only if it has been counted and has no more rows than this (ids of 24 bytes or so).
-BROADCAST_ROWS = 1_000_000
 #: Star rounds before all pairs that are left.
 STARS = 2
 #: A shingle of more groups than this is hot.
 HOT = 32
-#: Shingles looked up for a pair beyond those that are needed to see it at all.
-SPARE = 0
 #: Members that one task verifies against a copy of their centre.
 STAR = 200
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its counted rows are few enough; larger ones are joined by shuffling."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+#: Groups of one shingle that one task compares with those that look for others.
+SPLIT = 2_000
+#: Bits of a set's parity signature, in words of 64.
+SIGNATURE = 512
+WORDS = [f"s{i}" for i in range(SIGNATURE // 64)]
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
@@ -69,13 +69,13 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, text_md5, n, key, gkey, prefix) of every row; prefix only where a task meets a group first."""
+    """(doc_id, text_md5, n, key, gkey, prefix, signature) of every row; prefix only where a task meets a group first."""
     spark = docs.sparkSession
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     heavy = _sketch(docs).toArrow()
     levels[heavy["bucket"].to_numpy()] = np.log2(heavy["n"].to_numpy()).astype(np.uint8) + 1
     shared = spark.sparkContext.broadcast(levels)
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_md5", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("gkey", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_md5", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("gkey", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), *[T.StructField(w, T.LongType()) for w in WORDS]])
     arrow = to_arrow_schema(kind)
 
     def scan(batches):
@@ -87,7 +87,7 @@ def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
                     h = distinct(shingles(data))
                     n = len(h)
                     if not n:
-                        rows.append((doc_id, md5, 0, None, None, None))
+                        rows.append((doc_id, md5, 0, None, None, None, *[None] * len(WORDS)))
                         continue
                     place = (level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
                     p = n - at_least(percent, n) + 1
@@ -96,7 +96,7 @@ def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
                     gkey = np.uint64(xxhash.xxh3_64_intdigest(prefix.tobytes(), n)).view(np.int64)
                     first = gkey not in seen
                     seen.add(gkey)
-                    rows.append((doc_id, md5, n, set_key(h), int(gkey), prefix if first else None))
+                    rows.append((doc_id, md5, n, set_key(h), int(gkey), prefix if first else None, *signature(h)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     text = F.col("text").cast("binary")
@@ -108,6 +108,12 @@ def set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """Words of the parities of how many hashes fall on each of SIGNATURE bits."""
+    odd = np.bincount((h & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _verify(docs: DataFrame, base: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, ok) of pairs (a, b) of keys: ok where their whole sets link. Members meet a copy of their centre a.
 
@@ -115,7 +121,8 @@ def _verify(docs: DataFrame, base: DataFrame, members: DataFrame, pairs: DataFra
     one centre at a time.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("long").alias("parts"))
-    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), F.col("b").alias("key"))
+    # only centres of more than STAR members are looked up, so that members of one centre needn't meet for it
+    member = pairs.join(small(parts.filter("parts > 1")), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("salt"), F.col("b").alias("key"))
     centre = parts.select(F.col("a").alias("key"), F.col("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     both = centre.select("a", "salt", "key", F.lit(0).alias("role")).unionByName(member.withColumn("role", F.lit(1)))
     row = members.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.text_md5").alias("text_md5"))
@@ -155,34 +162,46 @@ def _size_fits(x: str, y: str, percent: int) -> Column:
 
 
 def _need(x: str, y: str, percent: int) -> Column:
-    """Shingles that linking sets of these sizes have in common, at least."""
-    return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent) - 1e-9)
+    """Shingles that linking sets of sizes x and y have in common, at least."""
+    return F.expr(f"(({x} + {y}) * {percent} + {99 + percent}) div {100 + percent}")
 
 
 def _common(x: str, y: str, percent: int) -> Column:
     """Of these, those that lie in both prefixes, at least: no more than ceil(0.8 n) - 1 lie behind a prefix."""
-    return _need(x, y, percent) - F.ceil(F.greatest(x, y) * percent / 100 - 1e-9) + 1
+    return _need(x, y, percent) - F.expr(f"(greatest({x}, {y}) * {percent} + 99) div 100") + 1
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """No more bits of the signatures differ than shingles of linking sets may; true where a signature is unknown."""
+    bits = F.lit(0)
+    for w in WORDS:
+        bits = bits + F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}")))
+    return F.coalesce(bits <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * _need(f"{x}.n", f"{y}.n", percent), F.lit(True))
 
 
 def _rest(t: DataFrame, percent: int) -> DataFrame:
     """(g, h): pairs of groups of different components that may link.
 
     Of each pair the group of the lighter component looks for the other one. If both have more in common than they
-    have hot shingles, hot ones aren't looked at. Of the s shingles that are, at least k must be met, so at least c + 1
-    of the first s - k + 1 + c: those alone are looked up.
+    have hot shingles, hot ones aren't looked at. Of the s shingles that are, at least k must be met, so at least one
+    of the first s - k + 1: those alone are looked up. Shingles of many groups are dealt over several tasks: each of
+    the groups that look for others goes to one of them, and the groups looked for to all. Dealing is explicit, as the
+    bytes of these rows say nothing of the work they make.
     """
-    x, y = t.filter("out").alias("x"), t.alias("y")
+    tasks = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = F.ceil(F.col("m") / SPLIT).cast("int")
+    x = t.filter("out").withColumn("salt", F.pmod(F.xxhash64("gkey"), split).cast("int")).repartition(tasks, "token", "salt").alias("x")
+    y = t.withColumn("salt", F.explode(F.sequence(F.lit(0), split - 1))).repartition(tasks, "token", "salt").alias("y")
     k = _common("x.n", "y.n", percent)
-    hot = F.least("x.hot", "y.hot")
-    k_now = F.when(k <= hot, k).otherwise(k - hot)
-    looked = lambda side: F.when(k <= hot, F.col(f"{side}.shared")).otherwise(F.col(f"{side}.shared") - F.col(f"{side}.hot"))
-    spare = F.least(F.lit(SPARE), k_now - 1)
-    turn = (F.col("x.ord") < F.col("y.ord")) | (F.col("x.mixed") & (F.col("x.ord") == F.col("y.ord")) & (F.col("x.gkey") < F.col("y.gkey")))
+    hot, seen = F.least("x.hot", "y.hot"), F.least("x.shared", "y.shared")
+    cool, rank = F.least(F.col("x.shared") - F.col("x.hot"), F.col("y.shared") - F.col("y.hot")), F.col("x.rank")
+    met = F.when(k <= hot, (k <= seen) & (rank <= F.col("x.shared") - k)).otherwise((k - hot <= cool) & (rank <= F.col("x.shared") - F.col("x.hot") - k + hot))
     # before and behind a common shingle there must be room for what else they have in common
     room = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _need("x.n", "y.n", percent)
-    on = (F.col("x.token") == F.col("y.token")) & turn & _size_fits("x.n", "y.n", percent) & room & (k_now <= F.least(looked("x"), looked("y"))) & (F.col("x.rank") < looked("x") - k_now + 1 + spare)
-    met = x.join(y, on).select(F.col("x.gkey").alias("g"), F.col("y.gkey").alias("h"), (spare + 1).alias("least"))
-    return met.groupBy("g", "h").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("met")).filter("met >= least").select("g", "h")
+    turn = (F.col("x.ord") < F.col("y.ord")) | (F.col("x.mixed") & (F.col("x.ord") == F.col("y.ord")) & (F.col("x.gkey") < F.col("y.gkey")))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))
+    on = on & _size_fits("x.n", "y.n", percent) & _near("x", "y", percent) & room & met & turn
+    return x.join(y, on).select(F.col("x.gkey").alias("g"), F.col("y.gkey").alias("h")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -199,14 +218,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     dealt = dealt.groupBy("token", "gkey").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     shared = dealt.groupBy("token").agg(F.min("gkey").alias("c"), F.max("gkey").alias("d")).filter("c < d").select("token")
     tokens = materialize(dealt.join(shared, "token", "left_semi"), "tokens")
-    keyed = base.filter("key IS NOT NULL").groupBy("gkey", "key").agg(F.min(F.struct("doc_id", "text_md5")).alias("row"), F.first("n").alias("n"))
+    keyed = base.filter("key IS NOT NULL").groupBy("gkey", "key").agg(F.min(F.struct("doc_id", "text_md5")).alias("row"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in WORDS])
     paired = tokens.select("gkey").union(keyed.groupBy("gkey").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gkey")).distinct()
     members = materialize(keyed.join(paired, "gkey", "left_semi"), "members")
     labels = members.select(F.col("key").alias("node"), F.col("key").alias("label"))
     tested = links = None
     for step in range(STARS + 1):
-        own = materialize(members.select("gkey", "key", "n").join(labels, members["key"] == labels["node"]).drop("node"), "own")
-        group = materialize(own.groupBy("gkey").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("least"), F.first("n").alias("n")), "groups")
+        own = materialize(members.select("gkey", "key", "n", *WORDS).join(labels, members["key"] == labels["node"]).drop("node"), "own")
+        group = materialize(own.groupBy("gkey").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("least"), F.first("n").alias("n"), *[F.when(F.min("key") == F.max("key"), F.first(w)).alias(w) for w in WORDS]), "groups")
         inner = group.filter("low < high")
         wide = tokens.join(group.select("gkey", "low", "high", "least"), "gkey")
         spread = wide.groupBy("token").agg(F.min("low").alias("tl"), F.max("high").alias("th"), F.count(F.lit(1)).alias("m")).filter("tl < th").select("token", "m")
@@ -226,16 +245,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         else:
             weight = met.groupBy("low").agg(F.count(F.lit(1)).alias("weight"))
             mixed = F.col("low") != F.col("high")
-            t = met.join(met.groupBy("gkey").agg(F.count_if(F.col("m") > HOT).alias("hot"), F.count(F.lit(1)).alias("shared")), "gkey").join(small(weight), "low")
+            facts = met.groupBy("gkey").agg(F.count_if(F.col("m") > HOT).alias("hot"), F.count(F.lit(1)).alias("shared"))
+            t = met.join(facts.join(group.select("gkey", *WORDS), "gkey"), "gkey").join(small(weight), "low")
             t = t.withColumn("rank", F.row_number().over(Window.partitionBy("gkey").orderBy((F.col("m") > HOT).cast("int"), "token")) - 1)
             t = t.withColumn("mixed", mixed).withColumn("ord", F.struct((~mixed).cast("int").alias("a"), "weight", "low"))
             t = t.join(t.groupBy("token").agg(F.max("ord").alias("top")), "token")
-            t = materialize(t.select("token", "gkey", "n", "pos", "hot", "shared", "rank", "mixed", "ord", (mixed | (F.col("ord") < F.col("top"))).alias("out")), "apart")
+            t = materialize(t.select("token", "m", "gkey", "n", "pos", "hot", "shared", "rank", "mixed", "ord", *WORDS, (mixed | (F.col("ord") < F.col("top"))).alias("out")), "apart")
             gpairs = _rest(t, percent)
             gpairs = gpairs.unionByName(inner.select(F.col("gkey").alias("g"), F.col("gkey").alias("h")))
-            one_side = own.select(F.col("gkey").alias("g"), F.col("key").alias("a"), F.col("label").alias("la"))
-            other = own.select(F.col("gkey").alias("h"), F.col("key").alias("b"), F.col("label").alias("lb"))
-            pairs = gpairs.join(one_side, "g").join(other, "h").filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            one_side = own.select(F.col("gkey").alias("g"), F.struct("key", "label", "n", *WORDS).alias("x"))
+            other = own.select(F.col("gkey").alias("h"), F.struct("key", "label", "n", *WORDS).alias("y"))
+            pairs = gpairs.join(one_side, "g").join(other, "h").filter((F.col("x.label") != F.col("y.label")) & _near("x", "y", percent))
+            pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
