@@ -1,7 +1,7 @@
 """Chat formatting with a grammar round trip, in DataFrame functions only.
 
-A turn is rendered as ``<s>[INST] role [/INST] text</s>``. Where the deterministic parser does not get the source
-turns back from that (a text or role holds a control string), the turn is rendered as
+A turn is rendered as ``<s>[INST] role [/INST] text</s>``. In the grammar neither a role nor a text holds a control
+string, so where one does, or the deterministic parser does not get the source turn back, the turn is rendered as
 ``<s>[INST~] role [/INST] text</s>`` with ``~`` and every control string escaped, which holds none of them.
 """
 
@@ -15,6 +15,16 @@ from .common import table
 RAW, ESCAPED, HEAD_END, TURN_END = "<s>[INST] ", "<s>[INST~] ", " [/INST] ", "</s>"
 #: Replaced in this order; undone in the opposite one.
 ESCAPES = [("~", "~0"), ("</s>", "~1"), ("[/INST]", "~2"), ("[INST]", "~3"), ("<s>", "~4")]
+#: What marks turns; never left as it is in a role or a text.
+CONTROL = ["<s>", "</s>", "[INST]", "[INST~]", "[/INST]"]
+
+
+def conflicts(c: Column) -> Column:
+    """Whether c holds a control string."""
+    found = F.lit(False)
+    for x in CONTROL:
+        found = found | F.contains(c, F.lit(x))
+    return found
 
 
 def escape(c: Column) -> Column:
@@ -68,9 +78,9 @@ def format_chat(conversations: DataFrame, conv: str = "conv_id", turn: str = "tu
     spans (start, length in code points of each text under the loss mask, as shown), n_turns.
     """
     rows = conversations.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.struct(F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
-    # first try: every turn alone, unescaped; a turn that doesn't come back whole is escaped
+    # first try: every turn alone, unescaped; a turn that conflicts or doesn't come back whole is escaped
     plain = _render(F.col("t"), F.lit(False))
-    rows = rows.withColumn("escaped", _pairs(parse(plain)) != F.array("t"))
+    rows = rows.withColumn("escaped", conflicts(F.col("t.role")) | conflicts(F.col("t.text")) | (_pairs(parse(plain)) != F.array("t")))
     rows = rows.withColumn("piece", F.when(F.col("escaped"), _render(F.col("t"), F.lit(True))).otherwise(plain))
     shown = F.when(F.col("escaped"), escape(F.col("t.text"))).otherwise(F.col("t.text"))
     rows = rows.withColumn("length", F.length(shown))
@@ -101,6 +111,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def _sql_conflicts(c: str) -> str:
+    return " OR ".join(f"contains({c}, '{x}')" for x in CONTROL)
+
+
 def _sql_escape(c: str) -> str:
     for a, b in ESCAPES:
         c = f"replace({c}, '{a}', '{b}')"
@@ -110,7 +124,7 @@ def _sql_escape(c: str) -> str:
 ORACLE = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '{EXTRA}' UNION ALL SELECT -1, 1, 'assistant', '{EXTRA}'),
-d AS (SELECT *, contains(text, '</s>') OR contains(role, '</s>') OR contains(role || ' ', '{HEAD_END}') AS esc FROM c)
+d AS (SELECT *, {_sql_conflicts('text')} OR {_sql_conflicts('role')} AS esc FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
