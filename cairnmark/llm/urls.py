@@ -36,7 +36,16 @@ def _mask(h: Column) -> Column:
     return m
 
 
-def blocked_bloom(keys: DataFrame, key: str, n_blocks: int = 4096) -> DataFrame:
+#: Blocks that a filter has at most: 16 MB. More keys than 8 million make it pass more, which the exact join removes.
+MAX_BLOCKS = 1 << 21
+
+
+def block_count(keys: DataFrame) -> int:
+    """A power of two that gives each of the counted keys 16 bits or more, as far as MAX_BLOCKS goes."""
+    return min(MAX_BLOCKS, max(64, 1 << (keys.count() // 4).bit_length()))
+
+
+def blocked_bloom(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
     """One row, one column `words`: array of n_blocks 64-bit words. Its size is fixed by n_blocks, not by the keys."""
     h = F.xxhash64(key)
     words = keys.select(F.pmod(h, F.lit(n_blocks)).cast("int").alias("block"), _mask(h).alias("m")).groupBy("block").agg(F.bit_or("m").alias("w"))
@@ -44,18 +53,21 @@ def blocked_bloom(keys: DataFrame, key: str, n_blocks: int = 4096) -> DataFrame:
     return filled.select(F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], url: str = "url", default: str = "allow", n_blocks: int = 4096) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row of pages.
 
     listed: (host, path, verdict) of listed canonical URLs; an entry fits its host and all subdomains where the
     url's path starts with its path, and the longest entry wins (then the greater text). path_lengths: the lengths
     of the listed paths, which bound the probes per url. Every probe (host suffix, path prefix) is tested against
-    the Bloom filter; possible hits alone go to the exact join, which removes false positives. Nulls and urls
+    the Bloom filter, whose size follows from the count of entries; possible hits alone go to the exact join, which
+    removes false positives, and pages without any are shuffled nowhere. Nulls and urls
     without '://' have empty host and path, no rule and the default verdict. Repeated rows are judged alike,
     an empty list gives everyone the default; columns of pages are kept, those named like the new ones excepted.
     """
     entries = listed.select(F.concat("host", "path").alias("rule"), F.struct("host", "path").alias("k"), "verdict").dropDuplicates(["k"])
-    bloom = blocked_bloom(listed.select(F.concat_ws("\x00", "host", "path").alias("key")), "key", n_blocks).scalar()
+    keys = entries.select(F.concat_ws("\x00", "k.host", "k.path").alias("key"))
+    n_blocks = block_count(keys)
+    bloom = blocked_bloom(keys, "key", n_blocks).scalar()
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     page = pages.select(F.struct(*kept).alias("page"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     labels = F.split("host", r"\.")
@@ -68,15 +80,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, path_lengths: list[int], ur
         m = _mask(h)
         return F.element_at(F.col("words"), F.pmod(h, F.lit(n_blocks)).cast("int") + 1).bitwiseAND(m) == m
 
-    hits = (
-        page.withColumn("rid", F.monotonically_increasing_id())
-        .withColumn("words", bloom)
-        .select("rid", "page", "host", "path", F.filter(probes, maybe).alias("maybe"))
-        .select("rid", "page", "host", "path", F.explode_outer("maybe").alias("k"))
-    )
+    probed = page.withColumn("words", bloom).select("page", "host", "path", F.filter(probes, maybe).alias("maybe"))
+    none = probed.filter(F.size("maybe") == 0).select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    hits = probed.filter(F.size("maybe") > 0).withColumn("rid", F.monotonically_increasing_id()).select("rid", "page", "host", "path", F.explode("maybe").alias("k"))
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict")))
     found = hits.join(entries, "k", "left").groupBy("rid").agg(F.first("page").alias("page"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("b"))
-    return found.select("page.*", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    return none.unionByName(found.select("page.*", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict")))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
