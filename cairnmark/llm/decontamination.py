@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import materialize, table
 from .shingles import arrow_rows, at_least, distinct, shingles
 
 PERCENT = 80
@@ -27,14 +27,14 @@ BLOCK_ITEMS = 20_000
 
 
 class ItemIndex:
-    """Sketches and shingle sets of a bounded block of items."""
+    """Sketches and shingle sets of a bounded block of items (id, text, number of rows)."""
 
     def __init__(self, items: list[tuple], percent: int = PERCENT):
         by_set = {}
-        for item_id, data in items:
+        for item_id, data, rows in items:
             s = distinct(shingles(data))
             if len(s):
-                by_set.setdefault(s.tobytes(), (s, []))[1].append(item_id)
+                by_set.setdefault(s.tobytes(), (s, []))[1].append((item_id, rows))
         self.sets = [s for s, _ in by_set.values()]
         self.ids = [ids for _, ids in by_set.values()]
         self.need = np.array([at_least(percent, len(s)) for s in self.sets], np.int64)
@@ -75,12 +75,14 @@ class ItemIndex:
 
 
 def item_blocks(items: DataFrame, percent: int = PERCENT, block: int = BLOCK_ITEMS):
-    """Broadcast indexes of the items, at most about `block` of them in each."""
-    items = items.select("item_id", F.col("text").cast("binary").alias("data"))
+    """Broadcast indexes of the items, at most about `block` of them in each. Repeated rows are combined, so that any
+    number of copies of one item is one entry of its block, with the number of its rows."""
+    items = items.filter("text IS NOT NULL").groupBy("item_id", F.col("text").cast("binary").alias("data")).agg(F.count(F.lit(1)).alias("rows"))
+    items = materialize(items, "items")
     n = math.ceil(items.count() / block)
     part = F.pmod(F.xxhash64("item_id", "data"), F.lit(max(1, n)))
     for i in range(n):
-        rows = [(r["item_id"], bytes(r["data"])) for r in items.filter(part == i).collect() if r["data"] is not None]
+        rows = [(r["item_id"], bytes(r["data"]), r["rows"]) for r in items.filter(part == i).collect()]
         yield items.sparkSession.sparkContext.broadcast(ItemIndex(rows, percent))
 
 
@@ -99,7 +101,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
         def scan(batches, index=index):
             own = index.value
             for batch in batches:
-                rows = [(doc_id, item, len(own.sets[i]), n) for doc_id, data in arrow_rows([batch], 0, 1) for i, n in own.matches(shingles(data)) for item in own.ids[i]]
+                rows = [(doc_id, item, len(own.sets[i]), n) for doc_id, data in arrow_rows([batch], 0, 1) for i, n in own.matches(shingles(data)) for item, count in own.ids[i] for _ in range(count)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -109,7 +111,11 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that hold no item; each row is judged by its own text, all columns stay."""
+    """The rows of docs that hold no item; each row is judged by its own text, all columns stay.
+
+    Null and empty texts hold nothing and stay, as do null ids; repeated rows go or stay together; texts of any length
+    are read whole; items without text are none, and without items or documents docs is returned as it is.
+    """
     for index in item_blocks(items, percent):
 
         @F.pandas_udf("boolean")
