@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,11 +23,13 @@ STOP_WORDS = frozenset(
     "le la les de des et un une du en est que qui dans pour sur au avec ce il elle ne pas plus par "
     "el los las del y que se por con para una su al lo como más pero sus o no".split()
 )
-#: Elements whose whole content is no text of the page.
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title|head"
+#: Elements whose whole content is no text of the page. Without an end tag, those of CODE reach to the end of the page
+#: and the others hold nothing; a slash at the end of its start tag also closes one of the others.
+RAW = frozenset("script style noscript template textarea iframe svg math object select title".split())
+CODE = frozenset(["script", "style"])
+END = {t: re.compile(rf"</{t}(?:\s[^>]*)?/?>", re.I) for t in RAW}
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -104,11 +107,18 @@ def _flags(tag: str, attrs: str, in_main: bool) -> tuple[int, int]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, with references decoded."""
+    """The page's blocks in order, with references decoded. End tags may be missing, and elements nested to any depth."""
     out: list[Block] = []
     # tag, article, boilerplate within the article, article within boilerplate, number of the innermost hint
     stack: list[tuple[str, bool, int, bool, int]] = []
     links, at, now, hints = 0, 0, None, 0
+    held: Counter = Counter()  # open elements by tag
+    unended: set[str] = set()  # elements of RAW that no end tag follows any more
+
+    def pop(i: int):
+        for f in stack[i:]:
+            held[f[0]] -= 1
+        del stack[i:]
 
     def add(raw: str):
         nonlocal now
@@ -121,15 +131,23 @@ def blocks(page: str) -> list[Block]:
             if links:
                 now.link_chars += len("".join(text.split()))
 
-    for m in TAG.finditer(page):
+    while m := TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
-            if m["raw"]:
-                add(" ")
             continue
         close, attrs = m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
+        if tag in RAW:
+            add(" ")
+            if not close and tag not in unended and not (attrs.rstrip().endswith("/") and tag not in CODE):
+                if end := END[tag].search(page, at):
+                    at = end.end()
+                elif tag in CODE:
+                    at = len(page)
+                else:
+                    unended.add(tag)
+            continue
         if tag == "br":
             add(" ")
             continue
@@ -141,19 +159,20 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if close:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == tag:
-                    if any(f[2] for f in stack[i:]) or not block:
-                        now = None
-                    del stack[i:]
-                    break
+            if held[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if any(f[2] for f in stack[i:]) or not block:
+                    now = None
+                pop(i)
             continue
         opens_main, opens_bad = _flags(tag, attrs, bool(stack) and stack[-1][1])
         if block:
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                pop(len(stack) - 1)
             if tag in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[tag]:
-                stack.pop()
+                pop(len(stack) - 1)
         if block or opens_bad and not attrs.rstrip().endswith("/"):
             if opens_bad and not block:
                 now = None
@@ -165,6 +184,7 @@ def blocks(page: str) -> list[Block]:
                 hints += 1
                 hint = hints
             stack.append((tag, main or bool(opens_main), max(bad, opens_bad), outer, hint))
+            held[tag] += 1
     add(page[at:])
     return out
 
