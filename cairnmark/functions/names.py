@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from .cid import CID
 
@@ -57,6 +58,12 @@ def uri_parts(uri: Column) -> Column:
     return F.struct(*[get(rx, i).alias(n) for i, n in enumerate(("scheme", "host", "path", "query", "fragment"), 1)])
 
 
+@F.pandas_udf(T.StringType())
+def uri_text(head: pd.Series) -> pd.Series:
+    """URI of each head's name."""
+    return pd.Series([None if h is None else Name("head", head=h).uri() for h in head], dtype=object)
+
+
 def latin1_to_utf8(b: Column) -> Column:
     """Symbol bytes read as ISO-8859-1."""
     return F.decode(b, "ISO-8859-1")

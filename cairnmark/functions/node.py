@@ -342,6 +342,13 @@ def block_of_text(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_block(None if x is None else x) for x in s], columns=["cid", "content_type", "hash_type", "content"])
 
 
+@F.pandas_udf(T.StringType())
+def text_of_block(cid: pd.Series, content: pd.Series) -> pd.Series:
+    """Text of string nodes; null for nodes of other kinds."""
+    nodes = (from_ipld(CID(bytes(c)), x) for c, x in zip(cid, content, strict=True))
+    return pd.Series([v if isinstance(v, str) else None for v in nodes], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def json_of_block(cid: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else to_json(from_ipld(CID(bytes(c)), x)) for c, x in zip(cid, content, strict=True)], dtype=object)
