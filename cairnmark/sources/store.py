@@ -12,7 +12,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairnmark.functions import node
-from cairnmark.functions.names import parse_uri
+from cairnmark.functions.names import parse_uri, uri_text
+from cairnmark.session import materialize
 
 VERSION = 1
 SCHEMAS = {
@@ -52,6 +53,7 @@ class Store:
 
     @property
     def refs(self) -> DataFrame:
+        """src, dest; a put that failed halfway may have left pairs that its repetition wrote again, so readers use them as a set."""
         return self._read("refs")
 
     @property
@@ -76,10 +78,10 @@ class Store:
     def put_blocks(self, blocks: DataFrame) -> None:
         """Identity CIDs hold their content, so no block is written for them; their links still count as references."""
         new = blocks.dropDuplicates(["cid"]).join(self.blocks.select("cid"), "cid", "left_anti")
-        new = new.withColumn("links", node.links_of_block("cid", "content")).persist()
+        new = materialize(new.withColumn("links", node.links_of_block("cid", "content")), "new")
+        # references first: a block that is there has its references, and those of a failed put are written again
         self._append("refs", new.select(F.explode(F.array_distinct("links")).alias("dest"), F.col("cid").alias("src")))
         self._append("blocks", new.filter("hash_type <> 0").select("cid", "content_type", "hash_type", "content"))
-        new.unpersist()
 
     def set_heads(self, rows: DataFrame) -> None:
         """rows: name, cid. Within one call the greatest CID of a name is taken."""
@@ -114,13 +116,17 @@ class Store:
 
     # --- reads ---
 
-    def get(self, keys: DataFrame) -> DataFrame:
-        """json of every known key (cid); identity CIDs are decoded without touching the blocks."""
+    def contents(self, keys: DataFrame) -> DataFrame:
+        """(cid, content) of every known key (cid); identity CIDs hold their own, without touching the blocks."""
         inline = node.inline_content(F.col("cid"))
         keys = keys.select("cid", inline.alias("own"))
         own = keys.filter("own IS NOT NULL").select("cid", F.col("own").alias("content"))
         stored = keys.filter("own IS NULL").select("cid").join(self.blocks.select("cid", "content"), "cid")
-        return own.unionByName(stored).select("cid", node.json_of_block("cid", "content").alias("json"))
+        return own.unionByName(stored)
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """json of every known key (cid)."""
+        return self.contents(keys).select("cid", node.json_of_block("cid", "content").alias("json"))
 
     def inline(self, keys: DataFrame, depth: int = 0) -> DataFrame:
         """json of every known key with links replaced by what they point to, `depth` levels down.
@@ -152,6 +158,16 @@ class Store:
         row = self.calls.filter((F.col("func") == name.func) & (F.col("args") == args)).first()
         return None if row is None else bytes(row["result"])
 
+    def copy_heads(self, names: DataFrame) -> None:
+        """Points heads at what others stand for: names (source, target); unknown sources are left out."""
+        found = names.join(self.heads.withColumnRenamed("name", "source"), "source")
+        self.set_heads(materialize(found.select(F.col("target").alias("name"), "cid"), "heads"))
+
+    def list_heads(self, limit: int | None = None) -> DataFrame:
+        """name, cid in order of the names' URIs, byte by byte; with a limit, as many of the first of them."""
+        out = self.heads.orderBy(uri_text(F.col("name")).cast("binary"))
+        return out if limit is None else out.limit(limit)
+
     def list_funcs(self) -> DataFrame:
         return self.calls.select("func").distinct()
 
