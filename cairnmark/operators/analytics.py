@@ -5,9 +5,10 @@ candidates: func, group_key, nodes (half-open runs [start, end, start, end ...])
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from cairnmark.session import materialize
@@ -31,11 +32,62 @@ def group_callees(c: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(per, "group_key")
 
 
+def duplicated(groups: DataFrame) -> DataFrame:
+    """Groups (with num_unique_callees, num_members) that hold a callee twice: the others can't save anything."""
+    return groups.filter("num_unique_callees < num_members")
+
+
+def candidate_report(groups: DataFrame) -> DataFrame:
+    """One row: groups, members, groups of one, those that may pay off and their members, the largest group (first of equals)."""
+    pays = F.col("total_caller_savings") > F.col("min_callee_size")
+    return groups.agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("num_members").alias("members"), F.count_if(F.col("num_members") == 1).alias("singletons"), F.count_if(pays).alias("profitable_groups"),
+        F.coalesce(F.sum(F.when(pays, F.col("num_members"))), F.lit(0)).alias("profitable_members"), F.max("num_members").alias("largest"),
+        F.min(F.struct((-F.col("num_members")).alias("n"), "group_key"))["group_key"].alias("largest_group"))
+
+
+def callee_report(groups: DataFrame) -> DataFrame:
+    """One row: members, unique callees and callees that occur once, of groups with callee counts."""
+    return groups.agg(*[F.sum(c).alias(a) for c, a in (("num_members", "members"), ("num_unique_callees", "unique_callees"), ("num_callees_without_duplicates", "callees_without_duplicates"))])
+
+
+def benefits(c: DataFrame, eligible: Column | None = None, copies: Column | None = None) -> DataFrame:
+    """(callee, benefit): what eligible candidates with savings save in all copies of their functions, less the size."""
+    counts = F.col("caller_savings") > 0 if eligible is None else eligible & (F.col("caller_savings") > 0)
+    saved = F.col("caller_savings") if copies is None else F.col("caller_savings") * copies
+    return c.groupBy("callee").agg((F.sum(F.when(counts, saved).otherwise(0)) - F.min("callee_size")).alias("benefit"))
+
+
+def best_callee(gains: DataFrame) -> DataFrame:
+    """The callee of the greatest benefit above 0, the first of equals; no row if none pays off. One aggregate, no sort."""
+    best = gains.filter("benefit > 0").agg(F.min(F.struct((-F.col("benefit")).alias("n"), "callee")).alias("b"))
+    return best.filter("b IS NOT NULL").select("b.callee", (-F.col("b.n")).alias("benefit"))
+
+
+def linear_terms(terms: DataFrame) -> DataFrame:
+    """(var, coefficient) of terms (var, k): coefficients of a variable are added up, and zeros stay."""
+    return terms.groupBy("var").agg(F.sum("k").alias("coefficient"))
+
+
+def changed(df: DataFrame, parts: list[str], order: list, value: str) -> DataFrame:
+    """Rows whose value isn't that of the row before them in their part; the first row always stays."""
+    before = F.lag(F.struct(value)).over(Window.partitionBy(*parts).orderBy(*order))
+    return df.withColumn("_b", before).filter(F.col("_b").isNull() | ~F.col(f"_b.{value}").eqNullSafe(F.col(value))).drop("_b")
+
+
 def corrected(size: Column, savings: Column, actual: Column) -> tuple[Column, Column]:
     """(size, savings) once the real size is known: only a smaller one changes the savings."""
     return actual.alias("callee_size"), (savings + F.least(F.lit(0), actual - size)).alias("caller_savings")
 
 
+def remeasured(c: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidates with the size and savings that their callee's real size gives (sizes: callee, actual); candidates of
+    callees that weren't measured, or whose size hasn't changed, stay as they are."""
+    x = c.join(sizes, "callee", "left")
+    size, savings = corrected(F.col("callee_size"), F.col("caller_savings"), F.coalesce("actual", "callee_size"))
+    return x.select(*[k for k in c.columns if k not in ("callee_size", "caller_savings")], size, savings)
+
+
 def batches(df: DataFrame, parts: list[str], order: list, size: int = 64) -> DataFrame:
     w = Window.partitionBy(*parts).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
@@ -55,12 +107,20 @@ def decode_runs(df: DataFrame, nodes: str = "nodes", out: str = "node") -> DataF
     return df.filter(F.size(nodes) > 0).select("*", pair.alias("_r")).select("*", F.explode(F.sequence("_r.s", F.col("_r.e") - 1)).alias(out)).drop("_r")
 
 
-def overlaps(c: DataFrame, key: str = "cand") -> DataFrame:
-    """(a, b), a < b: candidates of one function that share a node; an equi-join on (func, node), then distinct."""
-    n = decode_runs(c.select("func", key, "nodes"))
+def overlaps(c: DataFrame, key: str = "cand", width: int = 64) -> DataFrame:
+    """(a, b), a < b: candidates of one function that share a node.
+
+    Runs are cut at multiples of width, so that runs that share a node meet in a bucket: an equi-join on (func, bucket)
+    of one row for each run and bucket, instead of one for each node; then distinct.
+    """
+    starts = F.sequence(F.lit(0), (F.size("nodes") / 2 - 1).cast("int"))
+    pair = F.explode(F.transform(starts, lambda i: F.struct(F.element_at("nodes", 2 * i + 1).alias("s"), F.element_at("nodes", 2 * i + 2).alias("e"))))
+    runs = c.filter(F.size("nodes") > 0).select("func", F.col(key).alias("k"), pair.alias("r")).filter("r.s < r.e")
+    bucket = F.explode(F.sequence(F.floor(F.col("r.s") / width), F.floor((F.col("r.e") - 1) / width)))
+    n = runs.select("func", "k", "r.s", "r.e", bucket.alias("bucket"))
     a, b = n.alias("a"), n.alias("b")
-    on = (F.col("a.func") == F.col("b.func")) & (F.col("a.node") == F.col("b.node")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return a.join(b, on).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    on = (F.col("a.func") == F.col("b.func")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))
+    return a.join(b, on).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
 
 
 def presolve(c: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -83,16 +143,28 @@ def _greedy(cands: list[tuple], pairs: list[tuple], min_benefit: int) -> list[in
         own[1] = min(own[1], size)
         if not near.get(cand, set()) & own[2].keys():  # within a callee the first of overlapping ones stays
             own[2][cand] = savings
+    # benefits only fall, so that a heap entry that is out of date is put back with what it is now
+    owner = {cand: k for k, (_, _, own) in callees.items() for cand, s in own.items() if s > 0}
+    benefit = {k: sum(s for s in own.values() if s > 0) - size for k, (_, size, own) in callees.items()}
+    heap = [(-benefit[k], callees[k][0], k) for k in callees]
+    heapq.heapify(heap)
     chosen, dead = [], set()
-    while callees:
-        benefit = {k: sum(s for c, s in own.items() if c not in dead and s > 0) - size for k, (_, size, own) in callees.items()}
-        best = min(benefit, key=lambda k: (-benefit[k], callees[k][0]))
+    while heap:
+        gain, order, best = heapq.heappop(heap)
+        if -gain != benefit[best]:
+            heapq.heappush(heap, (-benefit[best], order, best))
+            continue
         if benefit[best] < min_benefit:
             break
-        for cand, s in callees.pop(best)[2].items():
+        own = callees.pop(best)[2]
+        for cand, s in own.items():
             if cand not in dead and s > 0:
                 chosen.append(cand)
-                dead |= near.get(cand, set())
+                for other in near.get(cand, ()):
+                    if other not in dead:
+                        dead.add(other)
+                        if (k := owner.get(other)) in callees:
+                            benefit[k] -= callees[k][2][other]
     return chosen
 
 
@@ -126,20 +198,22 @@ def greedy_selection(c: DataFrame, min_benefit: int = 1, min_caller_savings: int
 
 def refine(items: DataFrame, same: Callable[[Column, Column], Column], fingerprint: Column) -> DataFrame:
     """(group_key, item, class): members of a group are compared with the group's first; what differs is split by
-    fingerprint and compared again, until every member equals the first of its class."""
-    open_ = items.select("group_key", "item", "value", F.lit("").alias("split"))
-    out = None
-    for step in range(64):
-        open_ = materialize(open_, "refine")
-        if open_.isEmpty():
-            break
+    fingerprint and compared again, until every member equals the first of its class. Each round settles one class of
+    every open split, so that there are as many rounds as values that share a fingerprint; none is cut off."""
+    columns = [items.schema["group_key"], items.schema["item"], T.StructField("class", items.schema["item"].dataType)]
+    out = items.sparkSession.createDataFrame([], T.StructType(columns))
+    open_, step = items.select("group_key", "item", "value", F.lit("").alias("split")), 0
+    while True:
         firsts = open_.groupBy("group_key", "split").agg(F.min(F.struct("item", "value")).alias("f"))
-        x = open_.join(firsts, ["group_key", "split"]).withColumn("eq", same(F.col("value"), F.col("f.value")))
-        good = x.filter("eq").select("group_key", "item", F.col("f.item").alias("class"))
-        out = good if out is None else out.unionByName(good)
-        mark = fingerprint.cast("string") if step == 0 else F.lit("")
-        open_ = x.filter("NOT eq").select("group_key", "item", "value", F.concat("split", F.lit("/"), mark).alias("split"))
-    return out
+        near = open_.alias("o").join(firsts.alias("f"), F.col("o.group_key").eqNullSafe(F.col("f.group_key")) & (F.col("o.split") == F.col("f.split")))
+        x = materialize(near.select("o.*", "f.f").withColumn("eq", F.coalesce(same(F.col("value"), F.col("f.value")), F.lit(False)) | (F.col("item") == F.col("f.item"))), "refine")
+        if x.isEmpty():
+            return out
+        out = out.unionByName(x.filter("eq").select("group_key", "item", F.col("f.item").alias("class")))
+        if step % 16 == 15:
+            out = materialize(out, "classes")  # a plan of bounded size
+        mark = F.coalesce(fingerprint.cast("string"), F.lit("")) if step == 0 else F.lit("")
+        open_, step = x.filter("NOT eq").select("group_key", "item", "value", F.concat("split", F.lit("/"), mark).alias("split")), step + 1
 
 
 def representatives(classes: DataFrame, size: str = "size", pos: str = "item") -> DataFrame:
@@ -147,6 +221,45 @@ def representatives(classes: DataFrame, size: str = "size", pos: str = "item") -
     return classes.groupBy("class").agg(F.min_by("item", F.struct(size, pos)).alias("best"))
 
 
+def refined(callers: DataFrame, better: DataFrame) -> DataFrame:
+    """callers (callee, ...) with `refined`: what better (item, best) puts in the callee's place, else the callee itself."""
+    return callers.join(better.select(F.col("item").alias("callee"), "best"), "callee", "left").withColumn("refined", F.coalesce("best", "callee")).drop("best")
+
+
+def unproven(items: DataFrame, proven: DataFrame) -> DataFrame:
+    """Items (item, ...) that no proof (item) covers yet: what is known to be equivalent isn't compared again."""
+    return items.join(proven.select("item").distinct(), "item", "left_anti")
+
+
+def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and sample deviation by keys; the deviation of a single row is null."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"))
+
+
+def geometric_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """exp of the mean logarithm by keys; values must be above 0."""
+    return rows.groupBy(*keys).agg(F.exp(F.avg(F.ln(value))).alias("geomean"))
+
+
+def head_tail(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first and the last n rows by order, each once: two top-k selections, no sort of all rows."""
+    first, last = rows.orderBy(*order).limit(n), rows.orderBy(*[F.desc(c) for c in order]).limit(n)
+    return first.union(last).distinct()
+
+
+def total_size(parts: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """Bytes of a text or binary column by keys."""
+    return parts.groupBy(*keys).agg(F.sum(F.octet_length(data)).cast("long").alias("bytes"))
+
+
+def concatenated(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all frames, columns by name; those that a frame lacks are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def speedups(rows: DataFrame, baseline: str) -> DataFrame:
     """rows: configuration, benchmark, mean, stdev. Adds speedup over the baseline and its propagated error."""
     base = rows.filter(F.col("configuration") == baseline).select("benchmark", F.col("mean").alias("bm"), F.col("stdev").alias("bs"))

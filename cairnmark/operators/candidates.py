@@ -53,9 +53,15 @@ def grouped_callees_for_functions(candidates: DataFrame, sizes: DataFrame, batch
     return x.select("func", "group_key", "nodes", "callee", "batch", F.col("callee_size").alias("estimated_callee_size"), F.col("caller_savings").alias("estimated_caller_savings"), size, savings)
 
 
-def rewrite(functions: DataFrame, new_parts: DataFrame) -> DataFrame:
-    """functions (module, name, part) with parts replaced where new_parts (part, new_part) has another one."""
-    return functions.join(new_parts, "part", "left").select("module", "name", F.coalesce("new_part", "part").alias("part"))
+def rewrite(functions: DataFrame, new_parts: DataFrame, key: str = "part") -> DataFrame:
+    """functions (module, name, part) with parts replaced where new_parts (key, new_part) has another one; the key is the
+    part itself or another column of functions."""
+    return functions.join(new_parts, key, "left").select("module", "name", F.coalesce("new_part", "part").alias("part"))
+
+
+def at_most_args(candidates: DataFrame, max_args: int, args: str = "num_args", returns: str = "num_returns") -> DataFrame:
+    """Candidates whose arguments and return values, taken together, are no more than max_args."""
+    return candidates.filter(F.col(args) + F.col(returns) <= max_args)
 
 
 def validatable(items: DataFrame, same) -> DataFrame:

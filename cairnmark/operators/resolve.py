@@ -45,7 +45,7 @@ def unique_names(definitions: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("name").orderBy("module")) - 2
     todo = definitions.withColumn("unique_name", F.when(n < 0, F.col("name")).otherwise(F.concat("name", F.lit("."), n.cast("string"))))
     taken = definitions.select("name").distinct().withColumnRenamed("name", "unique_name")
-    for _ in range(64):
+    while True:  # every clash moves to a greater number, so that names settle once they are past those taken
         todo = materialize(todo, "names")
         w = Window.partitionBy("unique_name").orderBy((F.col("unique_name") != F.col("name")).cast("int"), "name", "module")
         marked = todo.withColumn("k", F.row_number().over(w)).join(taken.withColumn("t", F.lit(True)), "unique_name", "left")
@@ -55,26 +55,30 @@ def unique_names(definitions: DataFrame) -> DataFrame:
             return todo
         last = F.element_at(F.split("unique_name", r"\."), -1).cast("long")
         todo = marked.withColumn("unique_name", F.when(F.col("clash"), F.concat("name", F.lit("."), (last + 1).cast("string"))).otherwise(F.col("unique_name"))).select(*todo.columns)
-    raise RuntimeError("names did not settle")
 
 
-def dedupe_up_to_renaming(definitions: DataFrame, references: DataFrame, rounds: int = 64) -> DataFrame:
-    """(module, name, class): definitions whose contents are equal and whose references lead to equal definitions.
+def dedupe_up_to_renaming(definitions: DataFrame, references: DataFrame) -> DataFrame:
+    """(module, name, class_module, class_name): definitions whose contents are equal and whose references lead, place by
+    place, to equal definitions.
 
-    Classes start by content and are split by the classes of their references in order, until none splits: cycles
-    need no order. The first (module, name) of a class stands for it.
+    references: module, name, pos, ref; pos is the place of the reference in its definition. A reference that its module
+    doesn't define stands for its name. Classes start by content and are split by the classes of their references in
+    order, until none splits: cycles need no order. Splitting only adds classes, of which there are no more than
+    definitions, so it ends. The first (module, name) of a class stands for it.
     """
-    d = definitions.select("module", "name", F.xxhash64("content").cast("string").alias("sig"))
-    refs = references.select("module", "name", "ref")
+    d = definitions.select("module", "name", F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256).alias("sig"))
+    refs = references.select("module", "name", "pos", "ref")
     before = -1
-    for _ in range(rounds):
+    while True:
         d = materialize(d, "classes")
         n = d.select("sig").distinct().count()
         if n == before:
             break
         before = n
         target = d.select("module", F.col("name").alias("ref"), F.col("sig").alias("rs"))
-        r = refs.join(target, ["module", "ref"], "left").groupBy("module", "name").agg(F.array_sort(F.collect_list(F.coalesce("rs", "ref"))).alias("rs"))
-        d = d.join(r, ["module", "name"], "left").select("module", "name", F.sha2(F.concat_ws("\x00", "sig", F.coalesce("rs", F.array().cast("array<string>"))), 256).alias("sig"))
+        to = F.coalesce(F.concat(F.lit("="), F.col("rs")), F.concat(F.lit("@"), F.col("ref")))
+        r = refs.join(target, ["module", "ref"], "left").groupBy("module", "name").agg(F.array_sort(F.collect_list(F.struct("pos", to.alias("to")))).alias("rs"))
+        each = F.transform("rs", lambda x: F.concat(x["pos"].cast("string"), x["to"]))
+        d = d.join(r, ["module", "name"], "left").select("module", "name", F.sha2(F.concat_ws("\x00", "sig", F.coalesce(each, F.array().cast("array<string>"))), 256).alias("sig"))
     first = d.groupBy("sig").agg(F.min(F.struct("module", "name")).alias("f"))
     return d.join(first, "sig").select("module", "name", F.col("f.module").alias("class_module"), F.col("f.name").alias("class_name"))

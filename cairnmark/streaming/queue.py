@@ -8,6 +8,7 @@ delivery at least once gives results once.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from cairnmark.operators.memo import Evaluator, misses
 
@@ -41,3 +42,9 @@ def backoff_minutes(attempt: Column) -> Column:
 def assignment_order(jobs: DataFrame) -> DataFrame:
     """Jobs (func, attempt, position) in the order workers get them: those never started first, then retries."""
     return jobs.orderBy((F.col("attempt") > 0).cast("int"), "position")
+
+
+def assignment_places(jobs: DataFrame) -> DataFrame:
+    """Jobs (func, attempt, position, ...) with the place from 1 at which they are handed out among those of their func."""
+    w = Window.partitionBy("func").orderBy((F.col("attempt") > 0).cast("int"), "position")
+    return jobs.withColumn("place", F.row_number().over(w))
