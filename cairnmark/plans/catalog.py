@@ -8,13 +8,15 @@ foreign keys region < nation < customer < orders are links.
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cairnmark.functions import multibase, names, node
+from cairnmark.functions import fields, multibase, names, node
 from cairnmark.operators import analytics, candidates, graph, memo, resolve
-from cairnmark.session import table
-from cairnmark.sources.store import latest
+from cairnmark.session import materialize, shared_dir, table
+from cairnmark.sources.modules import Modules
+from cairnmark.sources.store import Store, latest, open_store
 from cairnmark.streaming import queue
 
 from . import experiments
@@ -49,29 +51,85 @@ def _query(oracle: str | None = None):
 
 # --- parts, modules, store ---
 
-_SHARE = """
-WITH p AS (SELECT source AS module, {H} AS part FROM {documents}),
+
+def _new_store(spark) -> Store:
+    return open_store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", create=True)
+
+
+def _modules(spark, sf_dir) -> Modules:
+    """The documents as modules: source is the module, doc_id the place and name, text the part."""
+    modules = Modules(_new_store(spark))
+    modules.add(table(spark, sf_dir, "documents").select(F.col("source").alias("module"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("name"), "text"))
+    return modules
+
+
+def _hexed(modules: Modules, rows: DataFrame) -> DataFrame:
+    """rows with the part's id replaced by the SHA-256 of the text that the store gives for it: what SQL can compare."""
+    texts = modules.texts(rows).select(F.col("part").alias("id"), F.sha2("text", 256).alias("sha"))
+    return rows.join(texts, F.col("part") == F.col("id")).drop("part", "id").withColumnRenamed("sha", "part")
+
+
+@_query("""
+WITH p AS (SELECT source AS module, sha256(text) AS part FROM documents),
 c AS (SELECT part, count(*) AS copies, count(DISTINCT module) AS modules FROM p GROUP BY part)
 SELECT p.module, count(*) AS num_parts, count(DISTINCT p.part) AS num_unique_parts,
        count(DISTINCT CASE WHEN c.modules > 1 THEN p.part END) AS num_shared_parts, CAST(sum(c.copies) AS BIGINT) AS total_copies
-FROM p JOIN c ON p.part = c.part GROUP BY p.module"""
-_SHA = ("sha2(text, 256)", "sha256(text)")
+FROM p JOIN c ON p.part = c.part GROUP BY p.module""")
+def module_sharing(spark, sf_dir):
+    return _modules(spark, sf_dir).sharing()
+
+
+@_query("SELECT sha256(text) AS cid, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def node_put_dedup(spark, sf_dir):
+    modules = _modules(spark, sf_dir)
+    rows = modules.manifest().groupBy("part").agg(F.count(F.lit(1)).alias("copies"), F.min("pos").alias("first_doc"))
+    return _hexed(modules, rows).withColumnRenamed("part", "cid")
+
+
+@_query("SELECT source AS module, sha256(text) AS part, count(*) AS copies FROM documents GROUP BY 1, 2")
+def part_copies(spark, sf_dir):
+    modules = _modules(spark, sf_dir)
+    return _hexed(modules, modules.copies())
+
+
+@_query("SELECT DISTINCT source AS module FROM documents")
+def list_modules(spark, sf_dir):
+    return _modules(spark, sf_dir).modules()
+
+
+@_query("SELECT source AS module, doc_id AS name, sha256(text) AS part FROM documents")
+def list_module_parts(spark, sf_dir):
+    modules = _modules(spark, sf_dir)
+    return _hexed(modules, modules.manifest().select("module", F.col("pos").alias("name"), "part"))
+
 
+@_query("SELECT DISTINCT sha256(text) AS part FROM documents")
+def list_all_parts(spark, sf_dir):
+    modules = _modules(spark, sf_dir)
+    return _hexed(modules, modules.part_ids())
 
-def _hashed(name: str, text: str) -> None:
-    _sql(name, text.replace("{H}", _SHA[0]), text.replace("{H}", _SHA[1]))
 
+@_query("SELECT sha256(text) AS part, min(text) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")
+def get_part_by_id(spark, sf_dir):
+    modules = _modules(spark, sf_dir)
+    asked = modules.manifest().join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos")), "pos", "left_semi")
+    return modules.texts(asked).select(F.sha2("text", 256).alias("part"), "text")
 
-_hashed("module_sharing", _SHARE)
-_hashed("node_put_dedup", "SELECT {H} AS cid, count(*) AS copies, min(doc_id) AS first_doc FROM {documents} GROUP BY 1")
-_hashed("part_copies", "SELECT source AS module, {H} AS part, count(*) AS copies FROM {documents} GROUP BY 1, 2")
-_sql("list_modules", "SELECT DISTINCT source AS module FROM {documents}")
-_hashed("list_module_parts", "SELECT source AS module, doc_id AS name, {H} AS part FROM {documents}")
-_hashed("list_all_parts", "SELECT DISTINCT {H} AS part FROM {documents}")
-_hashed("get_part_by_id", "SELECT {H} AS part, min(text) AS text FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels}) GROUP BY 1")
-_sql("rejoin_module", "SELECT source AS module, sha2(array_join(transform(array_sort(collect_list(struct(doc_id, text))), x -> x.text), ''), 256) AS whole FROM {documents} GROUP BY 1",
-     "SELECT source AS module, sha256(string_agg(text, '' ORDER BY doc_id)) AS whole FROM {documents} GROUP BY 1")
-_hashed("melt_parts", "SELECT {H} AS part, min(source) AS first_module, count(DISTINCT source) AS modules FROM {documents} GROUP BY 1")
+
+@_query("SELECT source AS module, sha256(string_agg(text, '' ORDER BY doc_id)) AS whole FROM documents GROUP BY 1")
+def rejoin_module(spark, sf_dir):
+    return _modules(spark, sf_dir).rejoin().select("module", F.sha2("text", 256).alias("whole"))
+
+
+@_query("SELECT sha256(text) AS part, min(source) AS first_module, count(DISTINCT source) AS modules FROM documents GROUP BY 1")
+def melt_parts(spark, sf_dir):
+    modules = _modules(spark, sf_dir)
+    return _hexed(modules, modules.melt())
+
+
+@_query("SELECT doc_id, source AS module, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS kept FROM documents")
+def merge_dedup(spark, sf_dir):
+    return _modules(spark, sf_dir).merged().select(F.col("pos").alias("doc_id"), "module", F.col("kept_pos").alias("kept"))
 
 
 @_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -86,18 +144,120 @@ def head_delete(spark, sf_dir):
     return latest(log, ["user_id"]).filter("event_type <> 'error'").select("user_id", "event_id")
 
 
-_CALLS = "SELECT event_type AS func, user_id AS arg, max(event_id) AS result FROM {events} GROUP BY 1, 2"
-_sql("call_latest", _CALLS)
-_sql("list_funcs", "SELECT DISTINCT event_type AS func FROM {events}")
-_sql("list_calls", f"SELECT * FROM ({_CALLS}) WHERE func = 'click'")
-_sql("call_invalidate", f"SELECT * FROM ({_CALLS}) WHERE func <> 'click'")
-_sql("names_using", """
-SELECT n_nationkey AS cid, 'customer' AS kind, c_custkey AS id FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey
-UNION ALL SELECT n_nationkey, 'supplier', s_suppkey FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey
-UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS BIGINT) FROM {nation}""")
-_sql("has_blocks", "SELECT p_partkey FROM {part} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey)")
-_sql("garbage_parts", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey)")
-_sql("copy_head", "SELECT concat('copy/', CAST(user_id AS VARCHAR(20))) AS name, max(event_id) AS cid FROM {events} GROUP BY user_id")
+_CALLS = "SELECT event_type AS func, user_id AS arg, max(event_id) AS result FROM events GROUP BY 1, 2"
+
+
+def _int_cid(c) -> Column:
+    return node.block_of_json(F.col(c).cast("string"))["cid"]
+
+
+def _int_of(cid: Column) -> Column:
+    return node.json_of_block(cid, node.inline_content(cid)).cast("long")
+
+
+def _call_store(spark, sf_dir) -> Store:
+    """Calls event_type(user_id) whose result is an event; the later half of the events is set after the earlier one."""
+    store, e = _new_store(spark), table(spark, sf_dir, "events")
+    rows = materialize(e.select("event_id", F.col("event_type").alias("func"), F.array(_int_cid("user_id")).alias("args"), _int_cid("event_id").alias("result")), "calls")
+    half = rows.agg(F.max("event_id")).first()[0] // 2
+    for part in ("event_id <= {}", "event_id > {}"):
+        store.set_calls(rows.filter(part.format(half)))
+    return store
+
+
+def _shown(calls: DataFrame) -> DataFrame:
+    return calls.select("func", _int_of(F.col("args")[0]).alias("arg"), _int_of(F.col("result")).alias("result"))
+
+
+@_query(_CALLS)
+def call_latest(spark, sf_dir):
+    return _shown(_call_store(spark, sf_dir).calls)
+
+
+@_query("SELECT DISTINCT event_type AS func FROM events")
+def list_funcs(spark, sf_dir):
+    return _call_store(spark, sf_dir).list_funcs()
+
+
+@_query(f"SELECT * FROM ({_CALLS}) WHERE func = 'click'")
+def list_calls(spark, sf_dir):
+    return _shown(_call_store(spark, sf_dir).list_calls("click"))
+
+
+@_query(f"SELECT * FROM ({_CALLS}) WHERE func <> 'click'")
+def call_invalidate(spark, sf_dir):
+    store = _call_store(spark, sf_dir)
+    store.invalidate("click")
+    return _shown(store.calls)
+
+
+def _head_store(spark, sf_dir) -> Store:
+    """Heads by user, each at the user's last event."""
+    store = _new_store(spark)
+    store.set_heads(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), _int_cid("event_id").alias("cid")))
+    return store
+
+
+@_query("SELECT concat('copy/', CAST(user_id AS VARCHAR(20))) AS name, max(event_id) AS cid FROM events GROUP BY user_id")
+def copy_head(spark, sf_dir):
+    store = _head_store(spark, sf_dir)
+    store.copy_heads(store.heads.select(F.col("name").alias("source"), F.concat(F.lit("copy/"), "name").alias("target")))
+    return store.heads.filter("name LIKE 'copy/%'").select("name", _int_of(F.col("cid")).alias("cid"))
+
+
+@_query("SELECT CAST(user_id AS VARCHAR) AS name, max(event_id) AS cid FROM events GROUP BY 1 ORDER BY encode(CAST(user_id AS VARCHAR)) LIMIT 25")
+def first_heads(spark, sf_dir):
+    return _head_store(spark, sf_dir).list_heads(25).select("name", _int_of(F.col("cid")).alias("cid"))
+
+
+_USES = """
+SELECT n_nationkey AS cid, 'customer' AS kind, c_custkey AS id FROM nation JOIN customer ON c_nationkey = n_nationkey
+UNION ALL SELECT n_nationkey, 'supplier', s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey
+UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS BIGINT) FROM nation"""
+
+
+@_query(_USES)
+def names_using(spark, sf_dir):
+    store, n = _new_store(spark), table(spark, sf_dir, "nation")
+    nation = F.to_json(F.struct(F.struct(F.col("n_name").alias("name"), F.concat(F.lit("key "), F.col("n_nationkey").cast("string")).alias("key")).alias("map")))
+    rows = materialize(n.select("n_nationkey", "n_regionkey", node.block_of_json(nation)["cid"].alias("cid")), "nations")
+    store.put(n.select(nation.alias("json")))
+    link = lambda c: F.struct(multibase.encode_column(c).alias("cid"))
+
+    def holder(kind: str, df: DataFrame, key: str, nation_key: str) -> DataFrame:
+        at = df.join(rows, F.col(nation_key) == F.col("n_nationkey"))
+        return at.select(F.to_json(F.struct(F.struct(F.col(key).alias("id"), F.lit(kind).alias("kind"), F.array(link(F.col("cid"))).alias("nations")).alias("map"))).alias("json"))
+
+    region = rows.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select(F.to_json(F.struct(F.struct(
+        F.col("n_regionkey").alias("id"), F.lit("region").alias("kind"), F.transform(F.col("cids"), lambda c: F.struct(F.concat(F.lit("u"), F.translate(F.rtrim(F.base64(c), F.lit("=")), "+/", "-_")).alias("cid"))).alias("nations")).alias("map"))).alias("json"))
+    holders = holder("customer", table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey").unionByName(holder("supplier", table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey"))
+    store.put(holders.unionByName(region))
+    used = store.names_using(rows.select("cid")).filter("kind = 'block'").select(F.col("cid").alias("nation"), F.col("src").alias("cid"))
+    text = store.get(used.select("cid").distinct())
+    found = used.join(text, "cid").join(rows.select(F.col("cid").alias("nation"), "n_nationkey"), "nation")
+    return found.select(F.col("n_nationkey").alias("cid"), F.get_json_object("json", "$.map.kind").alias("kind"), F.get_json_object("json", "$.map.id").cast("long").alias("id"))
+
+
+def _half_stored(spark, sf_dir) -> tuple[Store, DataFrame]:
+    """A store of the texts of even documents, and the ids of all: (doc_id, text, cid)."""
+    store = _new_store(spark)
+    d = materialize(table(spark, sf_dir, "documents").select("doc_id", "text", node.block_of_text("text").alias("b")), "ids")
+    store.put_blocks(d.filter("doc_id % 2 = 0").select("b.*"))
+    return store, d.select("doc_id", "text", "b.cid")
+
+
+@_query("SELECT doc_id FROM documents WHERE strlen(text) > 32 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def has_blocks(spark, sf_dir):
+    store, ids = _half_stored(spark, sf_dir)
+    return ids.filter("octet_length(text) > 32").join(store.has(ids.select("cid").distinct()), "cid", "left_semi").select("doc_id")
+
+
+@_query("SELECT sha256(text) AS part FROM documents WHERE doc_id % 2 = 0 AND strlen(text) > 32 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+def garbage_parts(spark, sf_dir):
+    store, ids = _half_stored(spark, sf_dir)
+    store.set_heads(ids.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("name"), "cid"))
+    return store.garbage().select(F.sha2(node.text_of_block("cid", "content"), 256).alias("part"))
+
 
 # --- memo ---
 
@@ -119,7 +279,9 @@ def memo_misses(spark, sf_dir):
     return memo.misses(*_requests(spark, sf_dir), _REQ)
 
 
-_sql("pending_dedupe", "SELECT l_partkey, l_suppkey, count(*) AS asked FROM {lineitem} GROUP BY 1, 2")
+@_query("SELECT l_partkey, l_suppkey, count(*) AS asked FROM lineitem GROUP BY 1, 2")
+def pending_dedupe(spark, sf_dir):
+    return memo.pending(table(spark, sf_dir, "lineitem"), _REQ)
 
 
 @_query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'status=' || o_orderstatus ELSE '' END || CASE WHEN o_orderpriority <> '5-LOW' THEN ';priority=' || o_orderpriority ELSE '' END AS cache_key FROM orders")
@@ -131,10 +293,23 @@ def option_key(spark, sf_dir):
     return o.select("o_orderkey", F.concat(F.coalesce(F.concat(F.lit("status="), text("status")), F.lit("")), F.coalesce(F.concat(F.lit(";priority="), text("priority")), F.lit(""))).alias("cache_key"))
 
 
+def _called(spark, func: str, args: DataFrame, columns: list[str]) -> DataFrame:
+    """args (integers) with the result of a registered function of some of its columns, through a store of calls."""
+    keyed = materialize(args.select("*", F.array(*[_int_cid(c) for c in columns]).alias("args")), "args")
+    done = memo.Evaluator(_new_store(spark), memo.TEST_FUNCS).evaluate(keyed.select(F.lit(func).alias("func"), "args"))
+    return keyed.join(done.select("args", _int_of(F.col("result")).alias("result")), "args").drop("args")
+
+
 @_query("SELECT c_custkey, c_custkey + c_nationkey AS total FROM customer")
 def call_add(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", (F.col("c_custkey") + F.col("c_nationkey")).alias("total"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return _called(spark, "test.add", c, ["c_custkey", "c_nationkey"]).select("c_custkey", F.col("result").alias("total"))
+
+
+@_query("SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS n, CAST(l_linenumber * (l_linenumber + 1) / 2 AS BIGINT) AS total FROM lineitem WHERE l_linenumber <= 3")
+def call_nested(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_linenumber").cast("long").alias("n")).distinct()
+    return _called(spark, "test.sum_to", n, ["n"]).select("n", F.col("result").alias("total"))
 
 
 @_query("SELECT 7 AS n, 40 AS solutions")
@@ -145,14 +320,7 @@ def call_nqueens(spark, sf_dir):
 @_query("SELECT * FROM (VALUES (0, 3, 4), (1, 4, 6), (2, 2, 7), (3, 3, 61)) t(m, n, result)")
 def call_ackermann(spark, sf_dir):
     args = spark.createDataFrame([(0, 3), (1, 4), (2, 2), (3, 3)], "m int, n int")
-
-    @F.pandas_udf("int")
-    def run(m, n):
-        import pandas as pd
-
-        return pd.Series([memo.ackermann(a, b) for a, b in zip(m, n, strict=True)])
-
-    return args.select("m", "n", run("m", "n").alias("result"))
+    return _called(spark, "test.ackermann", args, ["m", "n"]).select("m", "n", F.col("result").cast("int").alias("result"))
 
 
 # --- navigation, graphs ---
@@ -220,12 +388,76 @@ def _map_json(**fields: str) -> str:
 
 _REGION = _map_json(name="'\"' || r_name || '\"'")
 _NATION = _map_json(name="'\"' || n_name || '\"'", region=_REGION)
-_sql("deref_depth0", f"SELECT n_nationkey, {_map_json(name=_Q.format('n_name'), region='CAST(n_regionkey AS VARCHAR(9))')} AS json FROM {{nation}}")
-_sql("deref_depth1", f"SELECT n_nationkey, {_NATION} AS json FROM {{nation}} LEFT JOIN {{region}} ON n_regionkey = r_regionkey")
-_sql("deref_depth2", f"SELECT c_custkey, {_map_json(name=_Q.format('c_name'), nation=_NATION)} AS json FROM {{customer}} LEFT JOIN {{nation}} ON c_nationkey = n_nationkey LEFT JOIN {{region}} ON n_regionkey = r_regionkey")
-_sql("json_props_get", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, coalesce(get_json_object(props, '$.none'), 'absent') AS missing FROM {events}",
-     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.none'), 'absent') AS missing FROM {events}")
-_sql("size_and_empty", "SELECT doc_id, CAST(octet_length(text) AS BIGINT) AS size, octet_length(text) = 0 AS empty FROM {documents}", "SELECT doc_id, strlen(text) AS size, strlen(text) = 0 AS empty FROM {documents}")
+# the id of a region's node holds the node itself: CBOR of a map of one member
+_REGION_CID = "'u' || rtrim(translate(to_base64(unhex('017100' || printf('%02x', 7 + strlen(r_name)) || 'a1646e616d65' || printf('%02x', 96 + strlen(r_name)) || hex(encode(r_name)))), '+/', '-_'), '=')"
+_REGION_LINK = f"{_OPEN} || '\"cid\":\"' || {_REGION_CID} || '\"' || {_CLOSE}"
+
+
+def _linked(spark, sf_dir) -> tuple[Store, DataFrame, DataFrame]:
+    """A store of nodes customer > nation > region, and the ids (key, cid) of nations and of customers."""
+    store = _new_store(spark)
+
+    def put(rows: DataFrame, key: str, json: Column) -> DataFrame:
+        rows = rows.select(F.col(key).alias("key"), json.alias("json"))
+        return materialize(rows.join(store.put(rows), "json").select("key", "cid"), "nodes")
+
+    def under(df: DataFrame, up: DataFrame, on: str, key: str, name: str, field: str) -> DataFrame:
+        link = F.struct(multibase.encode_column(F.col("cid")).alias("cid")).alias(field)
+        return put(df.join(up.withColumnRenamed("key", on), on), key, F.to_json(F.struct(F.struct(F.col(name).alias("name"), link).alias("map"))))
+
+    regions = put(table(spark, sf_dir, "region"), "r_regionkey", F.to_json(F.struct(F.struct(F.col("r_name").alias("name")).alias("map"))))
+    nations = under(table(spark, sf_dir, "nation"), regions, "n_regionkey", "n_nationkey", "n_name", "region")
+    return store, nations, under(table(spark, sf_dir, "customer"), nations, "c_nationkey", "c_custkey", "c_name", "nation")
+
+
+def _inlined(store: Store, ids: DataFrame, key: str, depth: int) -> DataFrame:
+    return ids.join(store.inline(ids.select("cid").distinct(), depth), "cid").select(F.col("key").alias(key), "json")
+
+
+@_query(f"SELECT n_nationkey, {_map_json(name=_Q.format('n_name'), region=_REGION_LINK)} AS json FROM nation JOIN region ON n_regionkey = r_regionkey")
+def deref_depth0(spark, sf_dir):
+    store, nations, _ = _linked(spark, sf_dir)
+    return _inlined(store, nations, "n_nationkey", 0)
+
+
+@_query(f"SELECT n_nationkey, {_NATION} AS json FROM nation JOIN region ON n_regionkey = r_regionkey")
+def deref_depth1(spark, sf_dir):
+    store, nations, _ = _linked(spark, sf_dir)
+    return _inlined(store, nations, "n_nationkey", 1)
+
+
+@_query(f"SELECT c_custkey, {_map_json(name=_Q.format('c_name'), nation=_NATION)} AS json FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def deref_depth2(spark, sf_dir):
+    store, _, customers = _linked(spark, sf_dir)
+    return _inlined(store, customers, "c_custkey", 2)
+
+
+def _props(spark, sf_dir) -> DataFrame:
+    """event_id, event_type, value, json: the properties of an event as a map node."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "event_type", "value", F.concat(F.lit('{"map":'), "props", F.lit("}")).alias("json"))
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.none'), 'absent') AS missing, 'null' AS none FROM events")
+def json_props_get(spark, sf_dir):
+    j = F.col("json")
+    return _props(spark, sf_dir).select("event_id", fields.at(j, "k").cast("long").alias("k"), F.replace(fields.get_value_or(j, "none", '"absent"'), F.lit('"'), F.lit("")).alias("missing"), fields.at_or_null(j, "none").alias("none"))
+
+
+@_query("""SELECT event_id, json_extract(props, '$.k') IS NOT NULL AS has_k, false AS has_x, chr(123) || '"map":' || chr(123) || '"k":' || (json_extract(props, '$.k') :: VARCHAR) || ',"user":"x"' || chr(125) || chr(125) AS edited,
+chr(123) || '"map":' || chr(123) || chr(125) || chr(125) AS dropped, '[1,2,' || (json_extract(props, '$.k') :: VARCHAR) || ']' AS list, json_extract(props, '$.k') :: VARCHAR AS last, 3 :: BIGINT AS elements FROM events""")
+def node_edits(spark, sf_dir):
+    j = F.col("json")
+    rows = _props(spark, sf_dir).withColumn("list", fields.appended(fields.concatenated(F.lit("[1]"), F.lit("[2]")), fields.at(j, "k")))
+    return rows.select("event_id", fields.contains(j, "k").alias("has_k"), fields.contains(j, "x").alias("has_x"), fields.with_field(j, "user", '"x"').alias("edited"), fields.without_field(j, "k").alias("dropped"), "list",
+                       fields.element(F.col("list"), -1).alias("last"), fields.size(F.col("list")).alias("elements"))
+
+
+@_query("SELECT doc_id, strlen(text) AS size, strlen(text) = 0 AS empty FROM documents")
+def size_and_empty(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", node.block_of_text("text").alias("b")).select("doc_id", node.json_of_block("b.cid", "b.content").alias("json"))
+    return d.select("doc_id", fields.size(F.col("json")).alias("size"), fields.is_empty(F.col("json")).alias("empty"))
+
 
 # --- candidates ---
 
@@ -258,13 +490,57 @@ def grouped_callees(spark, sf_dir):
     return analytics.group_callees(c, analytics.group_candidates(c))
 
 
-_REPORT = """SELECT count(*) AS groups, CAST(sum(num_members) AS BIGINT) AS members, count(CASE WHEN num_members = 1 THEN 1 END) AS singletons,
+@_query(f"""SELECT count(*) AS groups, CAST(sum(num_members) AS BIGINT) AS members, count(CASE WHEN num_members = 1 THEN 1 END) AS singletons,
 count(CASE WHEN total_caller_savings > min_callee_size THEN 1 END) AS profitable_groups,
 CAST(sum(CASE WHEN total_caller_savings > min_callee_size THEN num_members ELSE 0 END) AS BIGINT) AS profitable_members,
-max(num_members) AS largest, {arg} AS largest_group FROM ({groups})"""
-_sql("candidate_report", _REPORT.replace("{groups}", "SELECT group_key, CAST(sum(caller_savings) AS BIGINT) AS total_caller_savings, min(callee_size) AS min_callee_size, count(*) AS num_members FROM (" + _CAND + ") GROUP BY 1").replace("{arg}", "max_by(group_key, struct(num_members, -CAST(group_key AS BIGINT)))"),
-     _REPORT.replace("{groups}", _GROUPS).replace("{arg}", "arg_max(group_key, num_members * 1000000000000 - CAST(group_key AS BIGINT))"))
-_sql("callee_report", "SELECT count(*) AS members, count(DISTINCT struct(l_partkey, l_suppkey)) AS unique_callees FROM {lineitem}", "SELECT count(*) AS members, count(DISTINCT (l_partkey, l_suppkey)) AS unique_callees FROM {lineitem}")
+max(num_members) AS largest, arg_max(group_key, num_members * 1000000000000 - CAST(group_key AS BIGINT)) AS largest_group FROM ({_GROUPS})""")
+def candidate_report(spark, sf_dir):
+    groups = analytics.group_candidates(_cands(spark, sf_dir)).withColumn("group_key", F.col("group_key").cast("long"))
+    return analytics.candidate_report(groups).withColumn("largest_group", F.col("largest_group").cast("string"))
+
+
+_CALLEES = f"""WITH d AS (SELECT DISTINCT func, group_key, callee FROM ({_CAND_SQL})), n AS (SELECT group_key, callee, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT g.*, u.num_unique_callees, u.num_callees_without_duplicates FROM ({_GROUPS}) g
+JOIN (SELECT group_key, count(*) AS num_unique_callees, count(CASE WHEN n = 1 THEN 1 END) AS num_callees_without_duplicates FROM n GROUP BY 1) u ON u.group_key = g.group_key"""
+
+
+def _callee_groups(spark, sf_dir) -> DataFrame:
+    c = _cands(spark, sf_dir).withColumn("nodes", F.lit(0))
+    return analytics.group_callees(c, analytics.group_candidates(c))
+
+
+@_query(f"SELECT CAST(sum(num_members) AS BIGINT) AS members, CAST(sum(num_unique_callees) AS BIGINT) AS unique_callees, CAST(sum(num_callees_without_duplicates) AS BIGINT) AS callees_without_duplicates FROM ({_CALLEES})")
+def callee_report(spark, sf_dir):
+    return analytics.callee_report(_callee_groups(spark, sf_dir))
+
+
+@_query(f"SELECT * FROM ({_CALLEES}) WHERE num_unique_callees < num_members")
+def duplicated_groups(spark, sf_dir):
+    return analytics.duplicated(_callee_groups(spark, sf_dir))
+
+
+@_query("""WITH s AS (SELECT l_suppkey AS callee, min(l_linenumber) AS actual FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_suppkey AS callee, CAST(coalesce(s.actual, l_linenumber + 2) AS BIGINT) AS callee_size, CAST(CAST(l_quantity AS BIGINT) + least(0, coalesce(s.actual, l_linenumber + 2) - l_linenumber - 2) AS BIGINT) AS caller_savings
+FROM lineitem LEFT JOIN s ON s.callee = l_suppkey""")
+def remeasured_savings(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    c = li.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("callee"), (F.col("l_linenumber") + 2).cast("long").alias("callee_size"), F.col("l_quantity").cast("long").alias("caller_savings"))
+    sizes = li.filter("l_suppkey % 3 > 0").groupBy(F.col("l_suppkey").alias("callee")).agg(F.min("l_linenumber").cast("long").alias("actual"))
+    return analytics.remeasured(c, sizes)
+
+
+@_query("""WITH b AS (SELECT s_suppkey AS item, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS best FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT l_orderkey, l_linenumber, l_suppkey AS callee, coalesce(b.best, l_suppkey) AS refined FROM lineitem LEFT JOIN b ON b.item = l_suppkey""")
+def refined_callees(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("class"), F.col("s_suppkey").alias("item"), F.lit(1).alias("size"))
+    better = s.join(analytics.representatives(s), "class").select("item", "best")
+    return analytics.refined(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("callee")), better)
+
+
+@_query("SELECT p_partkey AS item FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber > 2)")
+def unproven_items(spark, sf_dir):
+    proven = table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_partkey").alias("item"))
+    return analytics.unproven(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), proven)
 
 
 @_query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber + l_suppkey % 5 - 2 AS BIGINT) AS callee_size, CAST(l_quantity AS BIGINT) + least(0, l_suppkey % 5 - 2) AS caller_savings FROM lineitem")
@@ -340,13 +616,44 @@ def ilp_problem(spark, sf_dir):
 _sql("contiguous_windows", """
 SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS reach,
        max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS stop FROM {orders}""")
-_sql("redundant_rows", """
-SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}) WHERE before IS NULL OR before <> event_type""")
-_sql("lp_terms", "SELECT l_partkey AS var, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS coefficient FROM {lineitem} GROUP BY 1")
-_sql("callee_benefit", """SELECT l_suppkey AS callee, CAST(sum(CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) - min(l_linenumber) AS BIGINT) AS benefit FROM {lineitem} GROUP BY 1""")
-_sql("best_callee", """SELECT callee, benefit FROM (SELECT l_suppkey AS callee, CAST(sum(CAST(l_quantity AS BIGINT)) - min(l_linenumber) AS BIGINT) AS benefit FROM {lineitem} GROUP BY 1) WHERE benefit > 0 ORDER BY benefit DESC, callee LIMIT 1""")
-_sql("outlinable", """SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING count(CASE WHEN l_returnflag = 'R' THEN 1 END) = 0 AND count(*) > 1""")
-_sql("rewritten_callers", """SELECT d.doc_id, coalesce(l.quality, -1) AS replacement FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""")
+@_query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
+def redundant_rows(spark, sf_dir):
+    return analytics.changed(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id")
+
+
+@_query("SELECT l_partkey AS var, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS coefficient FROM lineitem GROUP BY 1")
+def lp_terms(spark, sf_dir):
+    return analytics.linear_terms(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("var"), F.col("l_quantity").cast("long").alias("k")))
+
+
+def _savings(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("callee"), F.col("l_linenumber").alias("callee_size"), F.col("l_quantity").cast("long").alias("caller_savings"))
+
+
+@_query("SELECT l_suppkey AS callee, CAST(sum(CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) - min(l_linenumber) AS BIGINT) AS benefit FROM lineitem GROUP BY 1")
+def callee_benefit(spark, sf_dir):
+    return analytics.benefits(_savings(spark, sf_dir), eligible=F.col("caller_savings") > 10)
+
+
+@_query("SELECT callee, benefit FROM (SELECT l_suppkey AS callee, CAST(sum(CAST(l_quantity AS BIGINT)) - min(l_linenumber) AS BIGINT) AS benefit FROM lineitem GROUP BY 1) WHERE benefit > 0 ORDER BY benefit DESC, callee LIMIT 1")
+def best_callee(spark, sf_dir):
+    return analytics.best_callee(analytics.benefits(_savings(spark, sf_dir)))
+
+
+@_query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(CASE WHEN l_returnflag = 'R' THEN 1 END) = 0 AND count(*) > 1")
+def outlinable(spark, sf_dir):
+    line, none = F.col("l_linenumber").cast("int"), F.array().cast("array<int>")
+    sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("nodes"), F.collect_list(F.when(F.col("l_returnflag") == "R", line)).alias("forbidden"))
+    sets = sets.select("*", none.alias("forced"), none.alias("dominating"), none.alias("dominators"))
+    return sets.filter(candidates.outlinable(sets) & (F.size("nodes") > 1)).select("l_orderkey")
+
+
+@_query("SELECT d.doc_id, coalesce(l.quality, -1) AS replacement FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def rewritten_callers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("m").alias("module"), F.col("doc_id").alias("name"), F.col("doc_id").alias("key"), F.lit(-1).cast("long").alias("part"))
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("long").alias("new_part"))
+    return candidates.rewrite(d, new, key="key").select(F.col("name").alias("doc_id"), F.col("part").alias("replacement"))
+
 
 # --- symbols ---
 
@@ -392,14 +699,25 @@ def resolve_mux(spark, sf_dir):
     return resolve.resolve_mux(refs.join(clash, "ref", "left_anti").select("module", "name", "ref"), defs)
 
 
-_hashed("merge_dedup", "SELECT doc_id, source AS module, first_value(doc_id) OVER (PARTITION BY {H} ORDER BY doc_id) AS kept FROM {documents}")
+# definitions: a part has the size as content and refers to two others of its module; renaming leaves 7 names of each
+_TREE = """WITH RECURSIVE p AS (SELECT p_partkey, p_partkey % 40 AS m, p_partkey // 40 AS k, CAST(p_size % 3 AS VARCHAR) AS content FROM part),
+d AS (SELECT CAST(m AS VARCHAR) AS module, CAST(k AS VARCHAR) AS name, content, CAST(2 * k + 1 AS VARCHAR) AS a, CAST(2 * k + 2 AS VARCHAR) AS b, k, m FROM p),
+depth AS (SELECT max(k) AS k FROM d),
+t(round, module, name, sig) AS (
+SELECT 0, module, name, sha256(content) FROM d
+UNION ALL SELECT t.round + 1, d.module, d.name, sha256(d.content || '|' || coalesce(a.sig, '@' || d.a) || '|' || coalesce(b.sig, '@' || d.b))
+FROM (SELECT DISTINCT round FROM t) r JOIN t ON t.round = r.round JOIN d ON d.module = t.module AND d.name = t.name
+LEFT JOIN t a ON a.module = d.module AND a.name = d.a LEFT JOIN t b ON b.module = d.module AND b.name = d.b WHERE t.round < 12)
+SELECT module, name, first_value(module) OVER w AS class_module, first_value(name) OVER w AS class_name FROM t WHERE round = 12 WINDOW w AS (PARTITION BY sig ORDER BY module, name)"""
 
 
-@_query("""WITH k AS (SELECT doc_id, source, sha256(text) AS s FROM documents)
-SELECT source AS module, CAST(doc_id AS VARCHAR) AS name, first_value(source) OVER w AS class_module, first_value(CAST(doc_id AS VARCHAR)) OVER w AS class_name FROM k WINDOW w AS (PARTITION BY s ORDER BY source, CAST(doc_id AS VARCHAR))""")
+@_query(_TREE)
 def dedupe_up_to_renaming(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("module"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
-    return resolve.dedupe_up_to_renaming(d, spark.createDataFrame([], "module string, name string, ref string"))
+    # every module is a binary tree of parts: k refers to 2 k + 1 and 2 k + 2, in this order
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).cast("string").alias("module"), F.floor(F.col("p_partkey") / 40).alias("k"), (F.col("p_size") % 3).cast("string").alias("content"))
+    d = p.select("module", F.col("k").cast("string").alias("name"), "content")
+    refs = p.select("module", F.col("k").cast("string").alias("name"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"), "k").withColumn("ref", (2 * F.col("k") + F.col("pos")).cast("string")).drop("k")
+    return resolve.dedupe_up_to_renaming(d, refs)
 
 
 _sql("symbol_list", "SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM {pages}) WHERE EXISTS (SELECT 1 FROM (VALUES ('www\\\\..*'), ('.*\\\\.example\\\\.org')) g(p) WHERE host RLIKE p)",
@@ -462,25 +780,50 @@ def uri_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", names.uri_parts(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
-_sql("html_escape", "SELECT page_id, replace(replace(html, '<', '&lt;'), '\"', '&quot;') AS html FROM {pages}")
-_sql("latin1_names", "SELECT n_nationkey, decode(CAST(n_name AS BINARY), 'ISO-8859-1') AS name FROM {nation}", "SELECT n_nationkey, n_name AS name FROM {nation}")
-_sql("value_kinds", "SELECT event_type, count(value) AS floats, count(props) AS strings, count(event_id) AS integers FROM {events} GROUP BY 1")
+@_query("SELECT page_id, replace(replace(html, '<', '&lt;'), '\"', '&quot;') AS html FROM pages")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.html_escape(F.col("html")).alias("html"))
+
+
+@_query("SELECT n_nationkey, n_name || chr(233) || chr(223) || chr(255) AS name FROM nation")
+def latin1_names(spark, sf_dir):
+    raw = F.concat(F.col("n_name").cast("binary"), F.lit(b"\xe9\xdf\xff"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", names.latin1_to_utf8(raw).alias("name"))
+
+
+@_query("""SELECT event_type, count(value) AS floats, count(props) AS maps, count(CASE WHEN event_id % 1000 < 128 THEN 1 END) AS small_integers, count(event_id) AS integers FROM events GROUP BY 1""")
+def value_kinds(spark, sf_dir):
+    e = _props(spark, sf_dir)
+    number = (F.col("event_id") % 1000).cast("string")
+    value = F.concat(F.lit('{"float":"'), F.col("value").cast("string"), F.lit('"}'))
+    kinds = e.select("event_type", fields.kind_of(value).alias("v"), fields.kind_of(F.col("json")).alias("p"), fields.kind_of(number).alias("n"), fields.is_integer(number, 8).alias("small"))
+    return kinds.groupBy("event_type").agg(F.count_if(F.col("v") == "float").alias("floats"), F.count_if(F.col("p") == "map").alias("maps"), F.count_if("small").alias("small_integers"), F.count_if(F.col("n") == "integer").alias("integers"))
+
 
 # --- benchmark rows ---
 
-_STATS = "SELECT event_type AS configuration, user_id % 10 AS benchmark, avg(value) AS mean, stddev_samp(value) AS stdev FROM {events} GROUP BY 1, 2"
-_STATS_SQL = _STATS.replace("{events}", "events")
-_sql("bench_stats", f"SELECT configuration, benchmark, round(mean, 6) AS mean, round(stdev, 6) AS stdev FROM ({_STATS})")
+_STATS = "SELECT event_type AS configuration, user_id % 10 AS benchmark, avg(value) AS mean, stddev_samp(value) AS stdev FROM events GROUP BY 1, 2"
+
+
+def _stats(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("configuration"), (F.col("user_id") % 10).alias("benchmark"), "value")
+    return analytics.summary(e, ["configuration", "benchmark"], "value")
+
+
+@_query(f"SELECT configuration, benchmark, round(mean, 6) AS mean, round(stdev, 6) AS stdev FROM ({_STATS})")
+def bench_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).select("configuration", "benchmark", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"))
 
 
 @_query(f"""SELECT r.configuration, r.benchmark, round(b.mean / r.mean, 6) AS speedup, round(sqrt(pow(b.stdev / b.mean, 2) + pow(r.stdev / r.mean, 2)) * b.mean / r.mean, 6) AS speedup_stdev
-FROM ({_STATS_SQL}) r JOIN ({_STATS_SQL}) b ON b.benchmark = r.benchmark AND b.configuration = 'click'""")
+FROM ({_STATS}) r JOIN ({_STATS}) b ON b.benchmark = r.benchmark AND b.configuration = 'click'""")
 def bench_speedup(spark, sf_dir):
-    rows = spark.sql(_STATS, events=table(spark, sf_dir, "events"))
-    return analytics.speedups(rows, "click").select("configuration", "benchmark", F.round("speedup", 6).alias("speedup"), F.round("speedup_stdev", 6).alias("speedup_stdev"))
+    return analytics.speedups(_stats(spark, sf_dir), "click").select("configuration", "benchmark", F.round("speedup", 6).alias("speedup"), F.round("speedup_stdev", 6).alias("speedup_stdev"))
 
 
-_sql("bench_geomean", f"SELECT r.configuration, round(exp(avg(ln(b.mean / r.mean))), 6) AS geomean FROM ({_STATS}) r JOIN ({_STATS}) b ON b.benchmark = r.benchmark AND b.configuration = 'click' GROUP BY 1")
+@_query(f"SELECT r.configuration, round(exp(avg(ln(b.mean / r.mean))), 6) AS geomean FROM ({_STATS}) r JOIN ({_STATS}) b ON b.benchmark = r.benchmark AND b.configuration = 'click' GROUP BY 1")
+def bench_geomean(spark, sf_dir):
+    return analytics.geometric_mean(analytics.speedups(_stats(spark, sf_dir), "click"), ["configuration"], "speedup").select("configuration", F.round("geomean", 6).alias("geomean"))
 
 
 @_query("SELECT user_id % 10 AS benchmark, round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS click, round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS view FROM events GROUP BY 1")
@@ -490,8 +833,15 @@ def bench_pivot(spark, sf_dir):
     return p.select("benchmark", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"))
 
 
-_sql("bench_head_tail", f"""SELECT benchmark, m FROM (SELECT benchmark, round(avg(mean), 6) AS m, row_number() OVER (ORDER BY avg(mean), benchmark) AS lo, row_number() OVER (ORDER BY avg(mean) DESC, benchmark) AS hi FROM ({_STATS}) GROUP BY benchmark) WHERE lo <= 3 OR hi <= 3""")
-_sql("total_size", "SELECT source, CAST(sum(octet_length(text)) AS BIGINT) AS bytes FROM {documents} GROUP BY 1", "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM {documents} GROUP BY 1")
+@_query(f"""SELECT benchmark, m FROM (SELECT benchmark, round(avg(mean), 6) AS m, row_number() OVER (ORDER BY avg(mean), benchmark) AS lo, row_number() OVER (ORDER BY avg(mean) DESC, benchmark DESC) AS hi FROM ({_STATS}) GROUP BY benchmark) WHERE lo <= 3 OR hi <= 3""")
+def bench_head_tail(spark, sf_dir):
+    means = _stats(spark, sf_dir).groupBy("benchmark").agg(F.avg("mean").alias("m"))
+    return analytics.head_tail(means, ["m", "benchmark"], 3).select("benchmark", F.round("m", 6).alias("m"))
+
+
+@_query("SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
+def total_size(spark, sf_dir):
+    return analytics.total_size(table(spark, sf_dir, "documents"), ["source"], "text")
 
 
 @_query("SELECT event_id, 4.0::DOUBLE * pow(2, event_id % 6) AS minutes FROM events")
@@ -505,8 +855,16 @@ def queue_gauges(spark, sf_dir):
     return queue.gauges(table(spark, sf_dir, "events").select(F.col("event_type").alias("func"), state.alias("state")))
 
 
-_sql("assignment_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END, event_id) AS BIGINT) AS place FROM {events}")
-_sql("union_all_rows", "SELECT s_suppkey AS k, s_name AS name FROM {supplier} UNION ALL SELECT c_custkey, c_name FROM {customer}")
+@_query("SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END, event_id) AS BIGINT) AS place FROM events")
+def assignment_order(spark, sf_dir):
+    jobs = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("func"), (F.col("event_id") % 4).alias("attempt"), F.col("event_id").alias("position"))
+    return queue.assignment_places(jobs).select("event_id", F.col("place").cast("long").alias("place"))
+
+
+@_query("SELECT s_suppkey AS k, s_name AS name, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def union_all_rows(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    return analytics.concatenated([s, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))])
 
 
 # --- candidates from ordered rows, rewriting, plans ---
@@ -515,12 +873,12 @@ _ITEMS = "SELECT l_orderkey AS func, l_linenumber AS pos, 0 AS block, concat(l_r
 
 
 def _windows(spark, sf_dir):
-    return candidates.window_candidates(spark.sql(_ITEMS, lineitem=table(spark, sf_dir, "lineitem")), max_adjacent=4, min_savings=1)
+    return candidates.window_candidates(spark.sql(_ITEMS, lineitem=table(spark, sf_dir, "lineitem")), min_savings=1)
 
 
 _WINDOWS = """WITH i AS (SELECT l_orderkey AS func, l_linenumber AS pos, l_returnflag || ' ' || CAST(l_partkey AS VARCHAR) AS text, l_linestatus = 'O' AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)),
 n AS (SELECT *, row_number() OVER (PARTITION BY func ORDER BY pos) AS r FROM i),
-w AS (SELECT a.func, a.pos AS s, b.pos + 1 AS e, b.r - a.r + 1 AS k, a.text AS head, a.r AS ar, b.r AS br FROM n a JOIN n b ON a.func = b.func AND b.r BETWEEN a.r AND a.r + 3),
+w AS (SELECT a.func, a.pos AS s, b.pos + 1 AS e, b.r - a.r + 1 AS k, a.text AS head, a.r AS ar, b.r AS br FROM n a JOIN n b ON a.func = b.func AND b.r BETWEEN a.r AND a.r + 9),
 x AS (SELECT w.func, w.s, w.e, w.k, w.head, sum(strlen(c.text)) AS total, bool_and(c.ok) AS ok, string_agg(c.text, chr(10) ORDER BY c.r) AS whole FROM w JOIN n c ON c.func = w.func AND c.r BETWEEN w.ar AND w.br GROUP BY ALL)
 SELECT func, s, e, CAST(k AS VARCHAR) || ':' || split_part(head, ' ', 1) AS group_key, CAST(total + 8 AS BIGINT) AS callee_size, CAST(total - 5 AS BIGINT) AS caller_savings, sha256(whole) AS callee FROM x WHERE ok AND total - 5 >= 1"""
 
