@@ -743,12 +743,21 @@ def refinements(spark, sf_dir):
 _NAMES = {"base16": "'f' || lower(hex({b}))", "base16upper": "'F' || upper(hex({b}))", "base64": "'m' || rtrim(to_base64({b}), '=')", "base64pad": "'M' || to_base64({b})", "base64url": "'u' || rtrim(translate(to_base64({b}), '+/', '-_'), '=')", "base64urlpad": "'U' || translate(to_base64({b}), '+/', '-_')"}
 
 
+_BITS = "(SELECT item_id, CAST(CAST(encode(text) AS BIT) AS VARCHAR) AS bits FROM benchmark)"
+_DIGIT = "CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(bits, i * 5 + j + 1, 1) = '1' THEN 1 << (4 - j) ELSE 0 END)) AS INT)"
+_BASE32 = "array_to_string(list_transform(range(0, (length(bits) + 4) // 5), lambda i: substr('{digits}', {digit}, 1)), '')"
+
+
 def _multibase(base: str):
     def run(spark, sf_dir):
         return table(spark, sf_dir, "benchmark").select("item_id", multibase.encode_column(F.col("text").cast("binary"), base).alias("text"))
 
     QUERIES[f"multibase_{base}"] = run
-    if base in _NAMES:
+    if base.startswith("base32"):
+        digits = "abcdefghijklmnopqrstuvwxyz234567"
+        digits, sign = (digits.upper(), "B") if base.endswith("upper") else (digits, "b")
+        ORACLES[f"multibase_{base}"] = f"SELECT item_id, '{sign}' || {_BASE32.format(digits=digits, digit=_DIGIT)} AS text FROM {_BITS}"
+    elif base in _NAMES:
         ORACLES[f"multibase_{base}"] = f"SELECT item_id, {_NAMES[base].format(b='encode(text)')} AS text FROM benchmark"
 
 
