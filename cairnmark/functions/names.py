@@ -51,6 +51,12 @@ def query_parameters(uri: str) -> list[tuple[str, str]]:
     return [(unquote(k), unquote(v)) for k, _, v in (p.partition("=") for p in query.split("&") if p)]
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def last_parameters(uri: pd.Series) -> pd.Series:
+    """Query parameters of each URI; of those given several times the last value counts."""
+    return pd.Series([None if u is None else dict(query_parameters(u)) for u in uri], dtype=object)
+
+
 def uri_parts(uri: Column) -> Column:
     """struct(scheme, host, path, query, fragment) with built-in functions; parts that are missing are empty."""
     get = lambda p, i: F.coalesce(F.regexp_extract(uri, p, i), F.lit(""))

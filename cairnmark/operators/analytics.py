@@ -252,6 +252,17 @@ def total_size(parts: DataFrame, keys: list[str], data: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.sum(F.octet_length(data)).cast("long").alias("bytes"))
 
 
+def concat_lists(rows: DataFrame, keys: list[str], order: list[str], values: str) -> DataFrame:
+    """The lists of each key one after another in the given order, as one list; nulls are empty lists."""
+    each = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(values, F.array().cast(rows.schema[values].dataType)).alias("_l"))))
+    return rows.groupBy(*keys).agg(F.flatten(F.transform(each, lambda x: x["_l"])).alias(values))
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Rows of left and right that stand at the same place of the same group, side by side."""
+    return left.join(right, [*keys, place])
+
+
 def concatenated(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames, columns by name; those that a frame lacks are null."""
     out = frames[0]

@@ -11,10 +11,12 @@ import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from cairnmark.functions import fields, multibase, names, node
 from cairnmark.operators import analytics, candidates, graph, memo, resolve
 from cairnmark.session import materialize, shared_dir, table
+from cairnmark.sources import car, nodes
 from cairnmark.sources.modules import Modules
 from cairnmark.sources.store import Store, latest, open_store
 from cairnmark.streaming import queue
@@ -956,3 +958,144 @@ def size_report(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_partkey").alias("p"))
     out = F.concat(F.lit("   text\t   data\n  "), F.col("p").cast("string"), F.lit("\t      12\n"))
     return candidates.size_report(li.select(F.col("l_orderkey").alias("experiment"), out.alias("output")))
+
+
+# --- archives, transfers, references, files ---
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS part FROM documents WHERE doc_id % 4 = 0")
+def archive_round_trip(spark, sf_dir):
+    store, ids = _half_stored(spark, sf_dir)
+    store.set_heads(ids.filter("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("name"), "cid"))
+    path, other = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}.car", _new_store(spark)
+    car.export_archive(store, path)
+    car.import_archive(other, path)
+    heads = other.heads
+    return heads.join(other.contents(heads.select("cid").distinct()), "cid").select("name", F.sha2(node.text_of_block("cid", "content"), 256).alias("part"))
+
+
+@_query("SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS part FROM documents WHERE doc_id % 6 = 0")
+def transfer_store(spark, sf_dir):
+    store, ids = _half_stored(spark, sf_dir)
+    store.set_heads(ids.filter("doc_id % 6 = 0").select(F.col("doc_id").cast("string").alias("name"), "cid"))
+    other = _new_store(spark)
+    other.put_blocks(ids.filter("doc_id % 12 = 0").join(store.blocks, "cid").select("cid", "content_type", "hash_type", "content"))  # what is there isn't sent
+    store.transfer(other)
+    heads = other.heads
+    return heads.join(other.contents(heads.select("cid").distinct()), "cid").select("name", F.sha2(node.text_of_block("cid", "content"), 256).alias("part"))
+
+
+@_query("SELECT n_nationkey, count(c_custkey) AS refs FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def reference_counts(spark, sf_dir):
+    store, nations, _ = _linked(spark, sf_dir)
+    refs = store.refs.distinct().groupBy(F.col("dest").alias("cid")).agg(F.count(F.lit(1)).alias("refs"))
+    return nations.join(refs, "cid").select(F.col("key").alias("n_nationkey"), "refs")
+
+
+@_query("SELECT DISTINCT c_nationkey AS n_nationkey FROM customer")
+def links_of_nodes(spark, sf_dir):
+    store, nations, customers = _linked(spark, sf_dir)
+    found = store.contents(customers.select("cid").distinct()).select(F.explode(node.links_of_block("cid", "content")).alias("cid")).distinct()
+    return nations.join(found, "cid").select(F.col("key").alias("n_nationkey"))
+
+
+@_query(f"SELECT DISTINCT v FROM (SELECT user_id AS v FROM ({_CALLS.replace('user_id AS arg', 'user_id')}) UNION SELECT result FROM ({_CALLS}))")
+def store_roots(spark, sf_dir):
+    return _call_store(spark, sf_dir).roots().select(_int_of(F.col("cid")).alias("v"))
+
+
+@_query("SELECT CASE WHEN event_id % 3 = 0 THEN 'map' WHEN event_id % 3 = 1 THEN 'integer' ELSE 'list' END AS kind, count(*) AS n FROM events GROUP BY 1")
+def kinds_of_blocks(spark, sf_dir):
+    k, n = F.col("event_id") % 3, F.col("event_id").cast("string")
+    json = F.when(k == 0, F.concat(F.lit('{"map":{"n":'), n, F.lit("}}"))).when(k == 1, n).otherwise(F.concat(F.lit("["), n, F.lit("]")))
+    blocks = table(spark, sf_dir, "events").select(node.block_of_json(json).alias("b")).select("b.*")
+    return blocks.groupBy(node.kind_of_block("cid", "content").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT event_id, chr(123) || '"float":"' || regexp_replace(CAST(value AS VARCHAR), '\.0$', '') || '"' || chr(125) AS json FROM events WHERE value IS NOT NULL AND abs(value) < 1e15""")
+def floats_round_trip(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("value IS NOT NULL AND abs(value) < 1e15")
+    json = F.concat(F.lit('{"float":"'), F.col("value").cast("string"), F.lit('"}'))
+    return e.select("event_id", node.block_of_json(json).alias("b")).select("event_id", node.json_of_block("b.cid", "b.content").alias("json"))
+
+
+@_query("SELECT event_id, props AS json FROM events")
+def nodes_round_trip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    j = _props(spark, sf_dir).select("event_id", fields.with_field(F.col("json"), "id", F.col("event_id").cast("string")).alias("text"))
+    j.select("text").write.text(path)
+    back = nodes.read_nodes(spark, path, "json")
+    return back.select(fields.at(F.col("json"), "id").cast("long").alias("event_id"), F.concat(F.lit('{"k": '), fields.at(F.col("json"), "k"), F.lit("}")).alias("json"))
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part")
+def csv_round_trip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    nodes.write_csv(table(spark, sf_dir, "part").select("p_partkey", "p_name"), path)
+    return spark.read.csv(path, header=True)
+
+
+@_query("SELECT '/head/' || replace(replace(c_name, '#', '%23'), ' ', '%20') || '/%C3%A9' AS uri FROM customer")
+def head_uris(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(names.uri_text(F.concat("c_name", F.lit("/é"))).alias("uri"))
+
+
+@_query("SELECT page_id, CAST(page_id AS VARCHAR) AS last FROM pages")
+def last_parameter(spark, sf_dir):
+    uri = F.concat(F.lit("/call?x=first&y=a%20b&x="), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", F.element_at(names.last_parameters(uri), "x").alias("last"))
+
+
+# --- names, filters, lists, passes ---
+
+
+@_query("""SELECT module, name, CASE WHEN r = 1 THEN name ELSE name || '.' || CAST(r - 2 AS VARCHAR) END AS unique_name FROM (
+SELECT CAST(p_partkey % 40 AS VARCHAR) AS module, 's' || CAST(p_partkey // 40 % 9 AS VARCHAR) || CAST(p_partkey // 360 AS VARCHAR) AS name, row_number() OVER (PARTITION BY 's' || CAST(p_partkey // 40 % 9 AS VARCHAR) || CAST(p_partkey // 360 AS VARCHAR) ORDER BY CAST(p_partkey % 40 AS VARCHAR)) AS r FROM part)""")
+def unique_names(spark, sf_dir):
+    k = F.floor(F.col("p_partkey") / 40)
+    d = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).cast("string").alias("module"), F.concat(F.lit("s"), (k % 9).cast("string"), F.floor(k / 9).cast("string")).alias("name"))
+    return resolve.unique_names(d).select("module", "name", "unique_name")
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber + l_quantity <= 20")
+def few_arguments(spark, sf_dir):
+    return candidates.at_most_args(table(spark, sf_dir, "lineitem"), 20, "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber")
+
+
+@_query("SELECT doc_id AS item FROM labels WHERE doc_id % 3 <> 0")
+def validatable_items(spark, sf_dir):
+    items = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.when(F.col("doc_id") % 3 != 0, F.col("quality")).alias("value"))
+    return candidates.validatable(items, lambda a, b: a == b).select("item")
+
+
+@_query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR) || ',' || CAST(o_orderkey + 1 AS VARCHAR), ',' ORDER BY o_orderkey) AS list FROM orders GROUP BY 1")
+def result_lists(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.array(F.col("o_orderkey").cast("string"), (F.col("o_orderkey") + 1).cast("string")).alias("list"))
+    return analytics.concat_lists(o, ["o_custkey"], ["o_orderkey"], "list").select("o_custkey", F.array_join("list", ",").alias("list"))
+
+
+@_query("""SELECT a.s_nationkey AS g, a.s_suppkey AS supplier, b.c_custkey AS customer FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier) a
+JOIN (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) b ON a.s_nationkey = b.c_nationkey AND a.r = b.r""")
+def zipped_members(spark, sf_dir):
+    place = lambda k, c: F.row_number().over(Window.partitionBy(k).orderBy(c)).alias("place")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("supplier"), place("s_nationkey", "s_suppkey"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("customer"), place("c_nationkey", "c_custkey"))
+    return analytics.zipped(s, c, ["g"], "place").drop("place")
+
+
+@_query("SELECT s_suppkey AS item, s_suppkey + 12 AS result FROM supplier")
+def pass_fold(spark, sf_dir):
+    start = materialize(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), _int_cid("s_suppkey").alias("cid")), "start")
+    done = memo.Evaluator(_new_store(spark), memo.TEST_FUNCS).fold(start, [("test.add", node.to_ipld(5)[0].data), ("test.add", node.to_ipld(7)[0].data)])
+    return done.select("item", _int_of(F.col("cid")).alias("result"))
+
+
+@_query("SELECT r_regionkey AS a, 'no implementation of none.' || r_name AS error FROM region")
+def missing_functions(spark, sf_dir):
+    evaluator, rows = memo.Evaluator(_new_store(spark), memo.Registry()), []
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():  # five regions
+        try:
+            evaluator.evaluate(spark.createDataFrame([(f"none.{r['r_name']}", [])], "func string, args array<binary>"))
+        except KeyError as e:
+            rows.append((r["r_regionkey"], e.args[0]))
+    return spark.createDataFrame(rows, "a long, error string")

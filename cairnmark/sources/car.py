@@ -5,6 +5,7 @@ The root block is a map {"calls": {func: [{"args": [...], "result": link}]}, "he
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +36,8 @@ def frames(data: bytes) -> tuple[list[CID], Iterator[tuple[CID, bytes]]]:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, cid, content) of every block of the archives at path, one task to a file."""
+    """(path, cid, content) of every block of the archives at path, one task to a file; a file of 2 GB or more fails, as
+    it is one value."""
 
     def parse(frames_of):
         for pdf in frames_of:
@@ -67,7 +69,7 @@ def import_archive(store, path: str) -> None:
 
 
 def export_archive(store, path: str) -> CID:
-    """Writes what heads and calls reach to a local archive file; returns the CID of its root.
+    """Writes what heads and calls reach to an archive file at path, anywhere that Spark can write; returns the CID of its root.
 
     An archive is one file, so its writer is one process; blocks come to it a partition at a time.
     """
@@ -79,11 +81,16 @@ def export_archive(store, path: str) -> CID:
     cid, content = to_ipld(root, identity=False)
     header = to_cbor({"roots": [cid], "version": 1})
     live = store.blocks.join(store.reachable(), "cid", "left_semi")
-    with open(path, "wb") as out:
-        out.write(put_varint(len(header)) + header)
-        for r in live.select("cid", "content").toLocalIterator():
-            part = bytes(r["cid"]) + bytes(r["content"])
-            out.write(put_varint(len(part)) + part)
-        part = cid.data + content
-        out.write(put_varint(len(part)) + part)
+    where = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out, waiting = where.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).create(where, True), bytearray()
+    try:
+        waiting += put_varint(len(header)) + header
+        for key, data in itertools.chain(((bytes(r["cid"]), bytes(r["content"])) for r in live.select("cid", "content").toLocalIterator()), [(cid.data, content)]):
+            waiting += put_varint(len(key) + len(data)) + key + data
+            if len(waiting) >= 1 << 20:
+                out.write(waiting)
+                waiting = bytearray()
+        out.write(waiting)
+    finally:
+        out.close()
     return cid
