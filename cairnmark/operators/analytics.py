@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from cairnmark.session import materialize
 
 from .graph import connected
+from .ordered import numbered
 
 
 def group_candidates(c: DataFrame) -> DataFrame:
@@ -89,14 +90,13 @@ def remeasured(c: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, parts: list[str], order: list, size: int = 64) -> DataFrame:
-    w = Window.partitionBy(*parts).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """Adds batch: rows of a part, in order, by so many; however large a part is, no task holds all of it."""
+    return numbered(df, parts, order, "_i").withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def encode_runs(df: DataFrame, parts: list[str], value: str) -> DataFrame:
     """(parts, nodes): sorted half-open runs of the distinct values of each part."""
-    w = Window.partitionBy(*parts).orderBy(value)
-    runs = df.select(*parts, value).distinct().withColumn("_i", F.col(value) - F.row_number().over(w))
+    runs = numbered(df.select(*parts, value).distinct(), parts, [value], "_n").withColumn("_i", F.col(value) - F.col("_n"))
     runs = runs.groupBy(*parts, "_i").agg(F.min(value).alias("s"), (F.max(value) + 1).alias("e"))
     return runs.groupBy(*parts).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("s", "e"))), lambda x: F.array(x["s"], x["e"]))).alias("nodes"))
 
@@ -360,24 +360,25 @@ MAX_CANDIDATES = 1_000_000
 
 def selection_program(c: DataFrame, pairs: DataFrame) -> LinearProgram:
     """The selection as a program: callees cost their size, candidates earn their savings, need their callee, and of
-    overlapping ones one is taken. Callees that can't pay off are left out. For problems that one solver can hold."""
+    overlapping ones one is taken. Callees that can't pay off are left out. Variables X are numbered in order of the
+    candidates, Y in that of their callees. For problems that one solver can hold: more than MAX_CANDIDATES fail."""
     if c.count() > MAX_CANDIDATES:
         raise ValueError("too many candidates for one program; select greedily")
     lp = LinearProgram("SELECT")
     useful = c.join(presolve(c, pairs).filter("NOT useless").select("callee", "size"), "callee")
     rows = useful.select("cand", "callee", "size", "caller_savings").orderBy("cand").collect()
     ids: dict = {}
+    held: dict = {}
     cost = []
-    for r in rows:
+    for i, r in enumerate(rows):
         if r["callee"] not in ids:
             ids[r["callee"]] = lp.bool_var(f"Y{len(ids):07d}")
             cost.append((float(r["size"]), ids[r["callee"]]))
-        x = lp.bool_var(f"X{r['cand']:07d}")
+        x = held[r["cand"]] = lp.bool_var(f"X{i:07d}")
         cost.append((-float(r["caller_savings"]), x))
-        lp.constraint(f"C{r['cand']:07d}", [(1, x), (-1, ids[r["callee"]])], "<=", 0)
-    held = {r["cand"] for r in rows}
+        lp.constraint(f"C{i:07d}", [(1, x), (-1, ids[r["callee"]])], "<=", 0)
     for i, p in enumerate(pairs.orderBy("a", "b").toLocalIterator()):
         if p["a"] in held and p["b"] in held:
-            lp.constraint(f"O{i:07d}", [(1, f"X{p['a']:07d}"), (1, f"X{p['b']:07d}")], "<=", 1)
+            lp.constraint(f"O{i:07d}", [(1, held[p["a"]]), (1, held[p["b"]])], "<=", 1)
     lp.minimize(cost)
     return lp
