@@ -5,14 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
+from cairnmark.operators.ordered import numbered, running_sum  # noqa: F401
 from cairnmark.session import materialize, shared_dir, table  # noqa: F401
 
 #: A frame is broadcast only if its counted bytes are no more than this.
 BROADCAST_BYTES = 64 << 20
-#: Rows that one window group of a two-level running sum holds on average.
-BUCKET_ROWS = 20_000
 
 
 def n_bytes(df: DataFrame) -> int:
@@ -32,42 +30,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n_bytes(df) <= BROADCAST_BYTES else df
 
 
-def n_buckets(rows: int, groups: int = 1) -> int:
-    """How many buckets keep a window group at about BUCKET_ROWS rows: grows with the table."""
-    return max(1, math.ceil(rows / BUCKET_ROWS / max(1, groups)))
+def n_buckets(rows: int) -> int:
+    """How many buckets even out the two levels of a running sum: as many as rows that a bucket then holds."""
+    return max(1, math.isqrt(rows))
 
 
 def hash_bucket(n: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def running_sum(df: DataFrame, parts: list[str], bucket: str, order: list, value: Column, out: str) -> DataFrame:
-    """Adds `out`: the sum of value over the rows before this one, within parts, ordered by (bucket, order).
-
-    Two levels: bucket totals are summed first (one row per bucket), so no task ever holds a whole part,
-    however hot. df must be stable under re-reading (a table or a materialized frame).
-    """
-    key = [*parts, bucket]
-    totals = df.groupBy(*key).agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    a, b = df.alias("a"), offsets.alias("b")
-    on = None
-    for k in key:
-        c = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        on = c if on is None else on & c
-    inside = Window.partitionBy(*[F.col(f"a.{k}") for k in key]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return a.join(b, on).select("a.*", (F.col("b._off") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(out))
-
-
 def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
-    """Adds `out`: the 0-based position in the given order, by range partitions and their counts.
-
-    Rows are dealt by range and written once, so that partition sizes are stable; ties take any order.
-    """
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    dealt = materialize(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranked")
-    return running_sum(dealt, [], "_p", order, F.lit(1), out).drop("_p")
+    """Adds `out`: the 0-based position in the given order; ties take any order."""
+    return numbered(df, [], order, out)
 
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"

@@ -1,44 +1,13 @@
-"""Connected components by contraction of the graph, on tables in the shared folder."""
+"""Connected components as labels of nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .common import materialize
+from cairnmark.operators.graph import connected
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (a, b); label: the least node of its component.
-
-    Each round every node that still has an edge hooks on to its first neighbour, in an order by hash that is another
-    one each round (summed up before the shuffle, so that hubs are cheap). Such hooks form trees, as only two nodes
-    that hook on to each other make a cycle; trees are followed to their roots by pointer jumping, and edges are led to
-    the roots. At most half of the nodes with edges are left after a round, whatever the shape and the labels of the
-    graph, so rounds are logarithmic in the nodes; they run until no edge is left.
-    """
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    labels = materialize(ends.distinct().withColumn("root", F.col("node")), "labels")
-    now, step = materialize(_edges(edges), "edges"), 0
-    while not now.isEmpty():
-        both = now.union(now.select("b", "a"))
-        first = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), "b")).alias("f"))
-        up = materialize(first.select("node", F.col("f.b").alias("up")), "hooks")
-        # the first jump turns the two that hook on to each other into a root and a child
-        above = F.when(F.col("top") == F.col("node"), F.least("node", "up")).otherwise(F.col("top"))
-        while True:
-            jump = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            new = materialize(up.join(jump, "up").select("node", F.col("up").alias("old"), above.alias("up")), "hooks")
-            up, above = new.select("node", "up"), F.col("top")
-            if new.filter("old <> up").isEmpty():
-                break
-        at = labels.join(up.withColumnRenamed("node", "root"), "root", "left")
-        labels = materialize(at.select("node", F.coalesce("up", "root").alias("root")), "labels")
-        led = now.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        now, step = materialize(_edges(led), "edges"), step + 1
-    least = labels.groupBy("root").agg(F.min("node").alias("label"))
-    return materialize(labels.join(least, "root").select("node", "label"), "labels")
-
-
-def _edges(pairs: DataFrame) -> DataFrame:
-    """Distinct edges (a, b) with a < b."""
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(node, label) of every node of edges (a, b); label: the least node of its component, in rounds that are logarithmic
+    in the nodes."""
+    return connected(edges).withColumnRenamed("component", "label")

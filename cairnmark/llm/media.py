@@ -123,7 +123,14 @@ class Frame:
 
 
 def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
-    """The image that starts at `at`, and where it ends. Raises ValueError on what is no baseline image."""
+    """The image that starts at `at`, and where it ends. Raises ValueError on what is no baseline image of one scan."""
+    try:
+        return _parse(data, at)
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError(f"broken marker: {e}") from e
+
+
+def _parse(data: bytes, at: int) -> tuple[Frame, int]:
     f = Frame()
     f.quant, f.dc, f.ac, f.restart, f.parts, f.scan = {}, {}, {}, 0, [], b""
     if data[at : at + 2] != b"\xff\xd8":
@@ -137,6 +144,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
             at += 1
             continue
         if marker == 0xD9:
+            if not f.parts or any(len(p) < 6 or p[4] not in f.dc or p[5] not in f.ac or p[3] not in f.quant for p in f.parts):
+                raise ValueError("no scan, or a scan without its tables")
             return f, at + 2
         (n,) = struct.unpack_from(">H", data, at + 2)
         body = data[at + 4 : at + 2 + n]
@@ -159,6 +168,8 @@ def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
         elif marker == 0xDD:
             (f.restart,) = struct.unpack(">H", body)
         elif marker == 0xDA:
+            if f.scan or body[0] != len(f.parts):
+                raise ValueError("components in separate scans")
             tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
             f.parts = [(*p, *tables[p[0]]) for p in f.parts]
             end = at

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import hash_bucket, materialize, n_buckets, running_sum, table
+from .common import hash_bucket, materialize, n_buckets, running_sum, small, table
 
 #: A hub (group of linked rows) heavier than this part of a shard moves row by row when room is short.
 HOT_PART = 0.01
+#: Rows of one hub that meet in a task; hubs with more are dealt over as many tasks as that makes.
+HUB_ROWS = 1_000
 
 
 def _unit(*cols) -> Column:
@@ -21,19 +23,40 @@ def _loads(df: DataFrame, n: int) -> list[float]:
     return [float(got.get(s) or 0) for s in range(n)]
 
 
+def _dealt(hubs: DataFrame) -> DataFrame:
+    """hubs (hub, n, ...) once for each salt that its rows have."""
+    return hubs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / HUB_ROWS)))).drop("n")
+
+
+def link(rows: DataFrame) -> DataFrame:
+    """The rows (rid, hub, w) of hubs of two or more rows, with a salt that deals out the rows of large hubs."""
+    hubs = materialize(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "hubs")
+    hot = small(hubs.filter(F.col("n") > HUB_ROWS))
+    salted = rows.join(hot, "hub", "left").withColumn("salt", F.pmod(F.xxhash64("rid"), F.floor((F.coalesce("n", F.lit(1)) - 1) / HUB_ROWS) + 1)).drop("n")
+    return salted.join(_dealt(hubs), ["hub", "salt"], "left_semi")
+
+
+def cut_links(placed: DataFrame) -> DataFrame:
+    """(rows, links, cut) of rows (hub, shard): a link joins a row to its hub, which stands where most of its rows are."""
+    cells = placed.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    per = cells.groupBy("hub").agg(F.sum("n").alias("n"), F.max("n").alias("home"))
+    return per.agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("links"), F.sum(F.col("n") - F.col("home")).alias("cut"))
+
+
 def propagate(linked: DataFrame, n_shards: int, capacity: float, rounds: int = 4) -> DataFrame:
-    """Moves rows (rid, hub, w) between shards towards where most of their hub's weight is.
+    """Moves rows (rid, hub, salt, w) between shards towards where most of their hub's weight is.
 
     Every round each hub prefers the shard that holds most of its weight; its other rows move there as far as the
     shard's quota (capacity less load) allows, where quota is short by hash of the hub, or of the row in hot hubs.
-    Weights are summed per (hub, shard) before anything meets, so a hot hub is 16 numbers, not a gathered group.
+    Weights are summed per (hub, shard) before anything meets, so a hot hub is 16 numbers, not a gathered group, and
+    these go to its rows by hub and salt.
     """
     now = materialize(linked.withColumn("shard", hash_bucket(n_shards, F.lit("start"), "rid")), "lp")
     for step in range(rounds):
         loads = _loads(now, n_shards)
-        cells = now.groupBy("hub", "shard").agg(F.sum("w").alias("cw"))
-        pref = cells.groupBy("hub").agg(F.max_by("shard", F.struct("cw", (-F.col("shard")).alias("s"))).alias("to"), F.sum("cw").alias("hub_w"))
-        moving = now.join(pref, "hub").withColumn("moves", F.col("to") != F.col("shard"))
+        cells = now.groupBy("hub", "shard").agg(F.sum("w").alias("cw"), F.count(F.lit(1)).alias("cn"))
+        pref = cells.groupBy("hub").agg(F.max_by("shard", F.struct("cw", (-F.col("shard")).alias("s"))).alias("to"), F.sum("cw").alias("hub_w"), F.sum("cn").alias("n"))
+        moving = now.join(_dealt(pref), ["hub", "salt"]).withColumn("moves", F.col("to") != F.col("shard"))
         want = {r["to"]: float(r["w"]) for r in moving.filter("moves").groupBy("to").agg(F.sum("w").alias("w")).collect()}
         if not want:
             break
@@ -42,7 +65,7 @@ def propagate(linked: DataFrame, n_shards: int, capacity: float, rounds: int = 4
             break
         u = F.when(F.col("hub_w") > HOT_PART * capacity, _unit(F.lit(step), "rid")).otherwise(_unit(F.lit(step), "hub"))
         goes = F.col("moves") & (u < F.element_at(F.array(*map(F.lit, share)), F.col("to") + 1))
-        now = materialize(moving.select("rid", "hub", "w", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "lp")
+        now = materialize(moving.select("rid", "hub", "salt", "w", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "lp")
     return now
 
 
@@ -63,8 +86,8 @@ def balance(rows: DataFrame, linked: DataFrame, n_shards: int, law: str) -> Data
     n, total = rows.agg(F.count(F.lit(1)), F.sum("w")).first()
     total = float(total or 0)
     targets = [float(int(total) // n_shards + (s < int(total) % n_shards)) for s in range(n_shards)] if law == "rows" else [total / n_shards] * n_shards
-    b = n_buckets(n, n_shards)
-    cut = running_sum(linked.withColumn("bucket", hash_bucket(b, "hub")), ["shard"], "bucket", ["hub", "rid"], F.col("w"), "before")
+    b = n_buckets(n)
+    cut = running_sum(linked.withColumn("bucket", hash_bucket(b, "hub", "salt")), ["shard"], "bucket", ["hub", "rid"], F.col("w"), "before")
     stays = F.col("before") + F.col("w") <= F.element_at(F.array(*map(F.lit, targets)), F.col("shard") + 1)
     kept = materialize(cut.filter(stays).select("rid", "w", "shard"), "kept")
     mean = total / max(1, n)
@@ -104,12 +127,11 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, law: str = "rows", rounds
     base = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("hub"))
     base = materialize(base.withColumn("rid", F.monotonically_increasing_id()), "docs")
     rows = base.select("rid", "hub", (F.lit(1).cast("long") if law == "rows" else F.col("size")).alias("w"))
-    hubs = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub")
     total = float(rows.agg(F.sum("w")).first()[0] or 0)
-    linked = propagate(rows.join(hubs, "hub", "left_semi"), n_shards, total / n_shards, rounds)
+    linked = propagate(link(rows), n_shards, total / n_shards, rounds)
     placed = balance(rows.select("rid", "w"), linked, n_shards, law)
     n = base.count()
-    out = materialize(base.join(placed, "rid").withColumn("bucket", hash_bucket(n_buckets(n, n_shards), "rid")), "placed")
+    out = materialize(base.join(placed, "rid").withColumn("bucket", hash_bucket(n_buckets(n), "rid")), "placed")
     out = running_sum(out, ["shard"], "bucket", ["rid"], F.lit(1), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"))
 

@@ -12,7 +12,6 @@ toxic; the same rows weigh each pair of a threat verb and a target.
 from __future__ import annotations
 
 import bisect
-import math
 import re
 from collections import Counter
 
@@ -21,13 +20,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import materialize, table
 from .shingles import arrow_rows, mixed, shingles
 
 #: Labelled rows that the insult lexicon is learned from, at most about so many (chosen by hash of the id).
 LABEL_ROWS = 20_000
-#: Entries of the learned lexicon at most, beside the seeds: the most significant ones.
-LEXICON_ROWS = 5_000
 PREFIXES = (4, 5, 6)
 #: A learned unit's rows: toxic ones at least, significance at least, others at most (one, or this part).
 MIN_TOXIC, MIN_Z, MAX_OTHER = 3, 6.0, 0.05
@@ -162,8 +159,6 @@ class Model:
                 if i < len(hits) and hits[i] < m.end():
                     p = self.clause(WORD.findall(m[0]), weights)
                     clean *= 1 - p / (p + (1 - p) * times)
-                    if clean < 1e-9:
-                        break
         return 1 - clean
 
 
@@ -203,10 +198,10 @@ def threat_weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return {f"{v} {w}": share(f"{v} {w}", share(f"{v} ", every)) for v in THREATS for w in TARGETS}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_units: int = LEXICON_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS) -> Model:
     """The model learned from labelled rows whose crc32(doc_id as text) mod 5 isn't 0: at most about max_rows of them.
 
-    Of equal and nearly equal texts (by either of two MinHashes) one counts. Rows without id, label or text teach nothing; without labelled rows the seeds stay.
+    The lexicon is all units of their texts that pass the test, so that it is bounded as they are. Of equal and nearly equal texts (by either of two MinHashes) one counts. Rows without id, label or text teach nothing; without labelled rows the seeds stay.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -238,23 +233,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABEL_ROWS, max_un
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[u] for u in n], pa.int64())], ["unit", "n", "t"])
 
     counts = rows.select("text", "toxic").mapInArrow(count, "unit string, n long, t long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = materialize(counts, "units")
     # what labels say of seeds and threats counts, clean rows too; there are no more of them than lists allow
     always = (F.col("unit") == "") | F.col("unit").isin(SEED_INSULTS) | F.col("unit").contains(" ")
-    n_always = 2 + len(SEED_INSULTS) + len(THREATS) * (1 + len(TARGETS))
-    counts = counts.filter(always | (F.col("t") >= MIN_TOXIC) & (F.col("n") - F.col("t") <= F.greatest(F.lit(1.0), F.col("n") * MAX_OTHER)))
-    order = [always.desc(), (F.col("t") * F.col("t") / F.col("n")).desc(), "unit"]
-    got = {r["unit"]: (r["n"], r["t"]) for r in counts.orderBy(*order).limit(max_units + n_always).collect()}
-    n, t = got.pop("", (0, 0))
+    n, t = (counts.filter("unit = ''").select("n", "t").first() or (0, 0))
     base = (t + 1) / (n + 10)
+    z = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
+    learned = (F.col("t") >= MIN_TOXIC) & (F.col("n") - F.col("t") <= F.greatest(F.lit(1.0), F.col("n") * MAX_OTHER)) & (z >= MIN_Z)
+    got = {r["unit"]: (r["n"], r["t"]) for r in counts.filter(always | learned).collect()}
+    got.pop("", None)
     lexicon = {}
     for unit in SEED_INSULTS:
         un, ut = got.pop(unit, (0, 0))
         lexicon[unit] = (ut + SEED_WEIGHT * SEED_ROWS) / (un + SEED_ROWS)
     threats = threat_weights({unit: got.pop(unit) for unit in list(got) if " " in unit})
-    for unit, (un, ut) in list(got.items())[:max_units]:
-        z = (ut - un * base) / math.sqrt(un * base * (1 - base))
-        if z >= MIN_Z:
-            lexicon[unit] = ut / (un + 1)
+    lexicon |= {unit: ut / (un + 1) for unit, (un, ut) in got.items()}
     return Model(lexicon, min(0.4, base / 4), threats)
 
 
@@ -283,7 +276,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = Non
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below 0.5, with their columns."""
+    """The rows of docs that score below 0.5, with their columns.
+
+    Null and empty texts score below 0.5 and stay, as do null ids; repeated rows go or stay together; texts of any length
+    are scored whole; without labels the seeds alone decide; an empty table gives no rows.
+    """
     model = train(docs, labels)
     return docs.filter(score_column(model, docs.sparkSession, F.col("text")) < 0.5)
 

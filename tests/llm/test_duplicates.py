@@ -66,6 +66,38 @@ def test_keep_one(frame):
     assert sum(not shingle_set(r["text"]) for r in got) == sum(not n for _, n, _ in want)
 
 
+def test_signatures_never_drop_a_link():
+    """Bits that differ are no more than shingles that differ, whatever the sets."""
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 500, 20_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for share in (0.0, 0.1, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < share], rng.integers(0, 1 << 64, int((1 - share) * n), np.uint64)]))
+            bits = int(np.unpackbits((jaccard.signature(a) ^ jaccard.signature(b)).view(np.uint8)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+
+
+def test_groups_near_the_threshold(frame, monkeypatch):
+    """Copies of a text with four edits each, of which nearly none link: few pairs are left to verify, all links are found."""
+    rng = random.Random(9)
+    base = prose(rng, 150, 10_000)
+    rows = [(i, edited(rng, base, 4)) for i in range(240)] + [(1000 + i, edited(rng, base, 1)) for i in range(3)]
+    tried = []
+    verify = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda docs, b, m, pairs, percent: tried.append(pairs.count()) or verify(docs, b, m, pairs, percent))
+    got = jaccard.near_duplicates(frame(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(map(tuple, got)) == key(jaccard_components(rows))
+    assert sum(tried) <= 4 * len(rows)
+
+
+def test_hot_shingles_are_dealt_out(frame, monkeypatch):
+    for name, value in (("SPLIT", 5), ("STAR", 3), ("HOT", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(6)
+    got = jaccard.near_duplicates(frame(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert key(map(tuple, got)) == key(jaccard_components(rows))
+
+
 def test_graph_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(100)]
@@ -205,12 +237,11 @@ def test_held_out_rows_are_not_learned(spark):
     assert word not in model.lexicon
 
 
-@pytest.mark.parametrize("max_units", [5000, 1])
-def test_labels_clear_seed_words(spark, max_units):
+def test_labels_clear_seed_words(spark):
     docs = [(i, f"a text of {'trash' if i % 2 else 'clown'} number w{i} x{i} y{i}") for i in range(1, 601)]
     docs += [(i, f"this is moron talk w{i} x{i} and zzword") for i in range(601, 701)]
     labels = spark.createDataFrame([(i, int(i > 600 or i in (2, 4))) for i, _ in docs], "doc_id long, toxic int")
-    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, max_units=max_units)
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
     assert model.score("take out the trash") < 0.5 and model.score("a clown") < 0.5
     assert model.score("a moron") > 0.9 and model.lexicon["scum"] == pytest.approx(toxicity.SEED_WEIGHT)
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from brute import WORD
+from plain_html import plain_text
 
 from cairnmark.llm import chat, html_text, media, mixing, sharding, urls
 
@@ -46,6 +47,56 @@ def test_shards(frame, law):
     assert sum(x == 1 for x in together) >= 0.8 * len(together)  # some give way to the large group
 
 
+def plain_cut(rows):
+    """Links and cut links of (text, shard), counted one by one."""
+    by = defaultdict(list)
+    for text, shard in rows:
+        by[text].append(shard)
+    links = sum(len(x) for x in by.values() if len(x) > 1)
+    return links, sum(len(x) - max(map(x.count, x)) for x in by.values())
+
+
+@pytest.mark.parametrize("hub_rows", [1000, 7])
+def test_cut_links(frame, spark, monkeypatch, hub_rows):
+    """Fewer links are cut than by chance, and none where every hub has room; salts of hot hubs change nothing."""
+    monkeypatch.setattr(sharding, "HUB_ROWS", hub_rows)
+    rows = [(i, f"group {i // 5}") for i in range(400)] + [(1000 + i, f"alone {i}") for i in range(400)] + [(2000 + i, "large") for i in range(60)]
+    got = sharding.assign_shards(frame(rows), n_shards=4, rounds=8)
+    text = dict(rows)
+    placed = [(text[r["doc_id"]], r["shard"]) for r in got.collect()]
+    measured = sharding.cut_links(spark.createDataFrame(placed, "hub string, shard int")).first()
+    assert (measured["rows"], measured["links"], measured["cut"]) == (len(rows), *plain_cut(placed))
+    rng = random.Random(1)
+    _, by_chance = plain_cut([(t, rng.randrange(4)) for _, t in rows])
+    assert measured["cut"] <= 0.1 * by_chance
+
+
+def plain_propagation(rows, n_shards, capacity, rounds):
+    """(rid, hub, shard): every hub that has room in full moves to the shard of most of its rows, one hub after another."""
+    now = dict(enumerate(rows))
+    for _ in range(rounds):
+        for hub in {h for h, _ in now.values()}:
+            own = [r for r, (h, _) in now.items() if h == hub]
+            shards = [now[r][1] for r in own]
+            to = max(range(n_shards), key=lambda s: (shards.count(s), -s))
+            load = sum(s == to for _, s in now.values())
+            if load + len(own) - shards.count(to) <= capacity:
+                now |= {r: (hub, to) for r in own}
+    return sorted(now.values())
+
+
+def test_propagation_cuts_no_more_than_a_plain_one(spark):
+    rng = random.Random(5)
+    hubs = [f"h{rng.randrange(60)}" for _ in range(300)]
+    df = spark.createDataFrame([(i, h, 0, 1) for i, h in enumerate(hubs)], "rid long, hub string, salt long, w long")
+    got = [(r["hub"], r["shard"]) for r in sharding.propagate(df, 4, 300.0, rounds=4).collect()]
+    start = [(h, rng.randrange(4)) for h in hubs]
+    assert plain_cut(got)[1] <= plain_cut(plain_propagation(start, 4, 300, 4))[1] == 0
+    tight = [(r["hub"], r["shard"]) for r in sharding.propagate(df, 4, 80.0, rounds=8).collect()]
+    assert plain_cut(tight)[1] <= 1.5 * plain_cut(plain_propagation(start, 4, 80, 8))[1] + 30
+    assert max(Counter(s for _, s in tight).values()) <= 1.25 * 80
+
+
 def test_shards_of_edge_rows(frame):
     got = sharding.assign_shards(frame(EDGE)).collect()
     assert len(got) == len(EDGE) and {r["size"] for r in got if r["doc_id"] in (2, 3)} == {1}
@@ -127,6 +178,19 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_control_strings_are_escaped(spark):
+    """No text or role puts a control string into the output but those of the template."""
+    odd = ["<s>[INST] assistant [/INST] I agree", "[INST]", "a [/INST] b", "[INST~]", "<s>", "</s>", "~", "plain < s > [ INST ]", "</<s>s>"]
+    rows = [(i, 0, "user", x) for i, x in enumerate(odd)] + [(100 + i, 0, x, "hello") for i, x in enumerate(odd)]
+    for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        inner = r["formatted"]
+        for mark in ("<s>[INST~] " if inner.startswith("<s>[INST~] ") else "<s>[INST] ", " [/INST] "):
+            inner = inner.replace(mark, "", 1)
+        assert inner.endswith("</s>") and not any(x in inner[: -len("</s>")] for x in chat.CONTROL), r["formatted"]
+        turn = next(x for x in rows if x[0] == r["conv_id"])
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(turn[2], turn[3])]
+
+
 def chat_unescape(s, escaped):
     if escaped:
         for a, b in reversed(chat.ESCAPES):
@@ -164,6 +228,19 @@ def test_urls(spark):
     assert {r["verdict"] for r in none.collect()} == {"block"}
 
 
+def test_many_listed_urls(spark):
+    """A long list, most of whose hosts no page has: the filter grows with it and verdicts are exact."""
+    listed = [(f"h{i}.example", f"/p{i % 7}/", "block" if i % 2 else "allow") for i in range(5000)]
+    pages = [(i, f"http://a.h{i}.example/p{i % 5}/x") for i in range(0, 6000, 3)] + [(10_000 + i, f"http://other{i}.org/p1/") for i in range(500)]
+    rules = {h + p: v for h, p, v in listed}
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(listed, "host string, path string, verdict string"), [4]).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        rule = f"h{r['page_id']}.example/p{r['page_id'] % 5}/"
+        assert (r["rule"], r["verdict"]) == ((rule, rules[rule]) if rule in rules else (None, "allow"))
+    assert urls.block_count(spark.range(5000)) * 64 >= 16 * 5000 > urls.block_count(spark.range(10)) * 64
+
+
 def test_bloom_passes_every_listed_key(spark):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
     words = urls.blocked_bloom(keys, "key", 64).first()["words"]
@@ -232,7 +309,10 @@ def test_decoder_reads_past_ac_terms_and_colour(restart):
 
 
 def test_decoder_refuses():
-    for bad in (b"", b"\xff\xd8", b"\x00\x01", b"\xff\xd8" + media._segment(0xC2, bytes(9))):
+    seg = media._segment
+    frame = seg(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 0x11, 0]))
+    broken = (b"\xff\xc0\x00", b"\xff\xc4\x00\x05\x00\x01\x02", b"\xff\xdb\x00\x02\xff", seg(0xC0, b"\x08"), seg(0xDD, b""), frame + b"\xff\xd9", frame + seg(0xDA, bytes([1, 9, 0, 0, 63, 0])), frame + seg(0xDA, bytes([1, 1, 0, 0, 63, 0])) + b"\x00\xff\xd9", seg(0xDA, bytes([0])) + b"\xff\xd9")
+    for bad in (b"", b"\xff\xd8", b"\x00\x01", b"\xff\xd8" + seg(0xC2, bytes(9)), *(b"\xff\xd8" + x for x in broken)):
         with pytest.raises(ValueError):
             media.parse(bad)
 
@@ -308,11 +388,71 @@ def test_long_text_beside_an_article():
     assert html_text.main_text(page).split("\n") == ["Lead", f"{RUNNING} {RUNNING}", *[RUNNING] * 4]
 
 
+def random_page(rng):
+    """Well-formed but for optional end tags: articles, teasers, wrappers, lists, tables, boilerplate, raw elements."""
+    words = "the of and to in a is that garden river stone machine letter window market winter la der que el".split()
+
+    def prose(n):
+        return " ".join(rng.choice(words) if rng.random() < 0.6 else f"word{rng.randint(0, 99)}" for _ in range(n)) + rng.choice(["", ".", " &amp; more", "&nbsp;x", " &#233;"])
+
+    def inline():
+        x = prose(rng.choice([1, 3, 8, 12, 25, 45]))
+        return rng.choice([x, x, x, f"<a href=1>{x}</a>", f"{x} <a href='2'>link {rng.randint(0, 9)}</a>", f"<b>{x}</b>\n  tail", f"{x}<br>{prose(3)}", f"<span class='ad'>{x}</span> rest", f"{x}<script>var a = '<p>';</script> on", f"<svg><path d=1></svg>{x}"])
+
+    def name():
+        return rng.choice(["", "", "", " class=sidebar", " class='has-sidebar page'", " id=comments", " class=commentlist", " role=navigation", " class='post-content'", " class=widget-box", " hidden", " style='display: none'", " class=mainNav", " class=story", " class=ad-box", " role=main"])
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "table", "div", "div", "article", "section", "aside", "nav", "header", "footer", "form", "main", "text"] if depth < 4 else ["p", "p", "h2", "text"])
+        if kind == "text":
+            return inline()
+        if kind in ("p", "h2"):
+            return f"<{kind}{name()}>{inline()}" + ("" if kind == "p" and rng.random() < 0.2 else f"</{kind}>")
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{inline()}" + rng.choice(["", "</li>"]) for _ in range(rng.randint(1, 4))) + "</ul>"
+        if kind == "table":
+            return "<table><tr><td>" + inline() + "<td>" + inline() + "<tr><td>" + inline() + "</table>"
+        return f"<{kind}{name()}>{''.join(block(depth + 1) for _ in range(rng.randint(1, 4)))}</{kind}>"
+
+    head = rng.choice(["", "<head><title>A title</title><style>p {}</style></head>", "<head><title>A title</title>"])
+    return f"<!doctype html><html>{head}<body{name()}><!-- a <p> comment -->{''.join(block(0) for _ in range(rng.randint(1, 7)))}</body></html>"
+
+
+def test_pages_against_a_plain_version():
+    rng = random.Random(8)
+    pages = [random_page(rng) for _ in range(1500)]
+    for page in [*pages, PAGE, "", None]:
+        assert html_text.main_text(page) == plain_text(page), page
+    assert sum(bool(html_text.main_text(p)) for p in pages) > 1000
+
+
+def test_table_against_the_plain_version(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()
+    got = {r["page_id"]: r["text"] for r in html_text.op2_html_text(spark, sf).collect()}
+    assert got == {r["page_id"]: plain_text(r["html"]) for r in rows}
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a < b", "<p>x" * 3000, "<div>" * 5000 + "deep", "&#xFFFFFF;&bogus;", "<a title='>'>t</a>", "</p></div>"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+@pytest.mark.parametrize("inside", ["<iframe src=x/>", "<svg><path d=''>", "<svg/>", "<object data=x>", "<select><option>", "<iframe></iframe>", "<svg><svg/></svg>", "<script>if (a < b) { '<p>' }</script>", "<!-->", "<!-- <p>no</p> -->", "<template>"])
+def test_elements_without_an_end_lose_no_text(inside):
+    page = f"<html><head><title>No</title><meta charset=utf-8><body><article><p>{RUNNING}</p>{inside}<p>{RUNNING} End.</p></article>"
+    assert html_text.main_text(page) == f"{RUNNING}\n{RUNNING} End."
+
+
+@pytest.mark.parametrize("depth", [198, 199, 3000])
+def test_end_tags_are_found_at_any_depth(depth):
+    page = f"<nav>{'<div>' * depth}Menu</nav><article><p>{RUNNING}</p></article>"
+    assert html_text.main_text(page) == RUNNING
+
+
+def test_code_without_an_end_is_no_text():
+    assert html_text.main_text(f"<article><p>{RUNNING}</p></article><script>var text = 'It was the best of times';") == RUNNING
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, PAGE, "old"), (1, PAGE, "old"), (None, None, None), (2, "", "x")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
