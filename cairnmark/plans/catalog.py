@@ -612,7 +612,7 @@ def greedy_solution(spark, sf_dir):
 @_query()
 def ilp_problem(spark, sf_dir):
     c = _spans(spark, sf_dir)
-    return spark.createDataFrame(list(enumerate(analytics.selection_program(c, analytics.overlaps(c)).mps())), "line long, text string")
+    return analytics.selection_program(c, analytics.overlaps(c))
 
 
 _sql("contiguous_windows", """

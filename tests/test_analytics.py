@@ -59,6 +59,58 @@ def test_program():
     assert A.reduced([(1, "a"), (-1, "a"), (2, "b")]) == {"a": 0, "b": 2}
 
 
+def program_text(df):
+    rows = df.orderBy("line").collect()
+    assert [r["line"] for r in rows] == list(range(len(rows)))
+    return [r["text"] for r in rows]
+
+
+def test_selection_program_is_that_of_the_plain_writer(spark):
+    rows = [(i * 3, i % 4, [i, i + 6], f"c{(i * 7) % 11}", i % 5 + 1, i % 9) for i in range(60)] + [(500, 9, [0, 2], "alone", 9, 1), (501, 9, [1, 3], None, 1, 9)]
+    c = cands(spark, rows).repartition(5)
+    pairs = sorted((r["a"], r["b"]) for r in A.overlaps(c).collect())
+    callees = {r[3] for r in rows if r[3]}
+    size = {k: min(r[4] for r in rows if r[3] == k) for k in callees}
+    useful = [r for r in rows if r[3] in callees and sum(x[5] for x in rows if x[3] == r[3]) > size[r[3]]]
+    assert pairs and 0 < len(useful) < len(rows)
+    lp, ys, xs, cost = A.LinearProgram("SELECT"), {}, {}, []
+    for i, (cand, _, _, callee, _, savings) in enumerate(useful):
+        if callee not in ys:
+            ys[callee] = lp.bool_var(f"Y{len(ys):07d}")
+            cost.append((size[callee], ys[callee]))
+        xs[cand] = lp.bool_var(f"X{i:07d}")
+        cost.append((-savings, xs[cand]))
+        lp.constraint(f"C{i:07d}", [(1, xs[cand]), (-1, ys[callee])], "<=", 0)
+    for i, (a, b) in enumerate(pairs):
+        if a in xs and b in xs:
+            lp.constraint(f"O{i:07d}", [(1, xs[a]), (1, xs[b])], "<=", 1)
+    lp.minimize(cost)
+    assert program_text(A.selection_program(c, A.overlaps(c))) == lp.mps()
+    assert program_text(A.selection_program(c.filter("cand = 500"), A.overlaps(c))) == A.LinearProgram("SELECT").mps()
+
+
+def test_selection_program_of_over_a_million_candidates(spark):
+    c = spark.range(1_000_003).select(F.col("id").alias("cand"), F.col("id").alias("func"), F.array(F.lit(0).cast("long"), F.lit(2).cast("long")).alias("nodes"),
+                                      F.col("id").alias("callee"), F.lit(5).cast("long").alias("callee_size"), F.when(F.col("id") % 500_000 == 2, 7).otherwise(0).cast("long").alias("caller_savings"))
+    text = program_text(A.selection_program(c, A.overlaps(c)))
+    assert [t for t in text if t.startswith(" BV")] == [f" BV BND       {v}000000{i}" for i in range(3) for v in "YX"]
+
+
+def test_names_past_seven_digits(spark):
+    ids = [0, 9_999_999, 10**7, 10**7 + 36**6 - 1, 10**7 + 36**6, 10**7 + 26 * 36**6 - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "i long")
+    got = [r["n"] for r in df.orderBy("i").select(A._name("X", "i").alias("n")).collect()]
+    assert got == ["X0000000", "X9999999", "XA000000", "XAZZZZZZ", "XB000000", "XZZZZZZZ"]
+    with pytest.raises(Exception, match="no names"):
+        spark.createDataFrame([(10**7 + 26 * 36**6,)], "i long").select(A._name("X", "i")).collect()
+
+
+def test_candidates_without_savings_fail(spark):
+    c = cands(spark, [(0, 1, [0, 1], "a", 1, 5), (1, 1, [4, 5], "a", 1, None)])
+    with pytest.raises(Exception, match="no savings"):
+        A.selection_program(c, A.overlaps(c)).collect()
+
+
 def symbols(spark):
     d = spark.createDataFrame([("m1", "f", "strong", "x"), ("m2", "f", "local", "x"), ("m2", "g", "weak", "y"), ("m3", "g", "weak", "y"), ("m3", "h", "strong", "z")], "module string, name string, linkage string, content string")
     r = spark.createDataFrame([("m2", "u", "f"), ("m3", "u", "f"), ("m1", "u", "g"), ("m1", "u", "none")], "module string, name string, ref string")
