@@ -61,13 +61,15 @@ def dedupe_up_to_renaming(definitions: DataFrame, references: DataFrame) -> Data
     """(module, name, class_module, class_name): definitions whose contents are equal and whose references lead, place by
     place, to equal definitions.
 
-    references: module, name, pos, ref; pos is the place of the reference in its definition. A reference that its module
+    references: module, name, pos, ref; pos is the place of the reference in its definition. Without that column no
+    definition may have several references: their order isn't known, and they fail. A reference that its module
     doesn't define stands for its name. Classes start by content and are split by the classes of their references in
     order, until none splits: cycles need no order. Splitting only adds classes, of which there are no more than
     definitions, so it ends. The first (module, name) of a class stands for it.
     """
     d = definitions.select("module", "name", F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256).alias("sig"))
-    refs = references.select("module", "name", "pos", "ref")
+    placed = "pos" in references.columns
+    refs = references.select("module", "name", F.col("pos") if placed else F.lit(0).alias("pos"), "ref")
     before = -1
     while True:
         d = materialize(d, "classes")
@@ -78,6 +80,8 @@ def dedupe_up_to_renaming(definitions: DataFrame, references: DataFrame) -> Data
         target = d.select("module", F.col("name").alias("ref"), F.col("sig").alias("rs"))
         to = F.coalesce(F.concat(F.lit("="), F.col("rs")), F.concat(F.lit("@"), F.col("ref")))
         r = refs.join(target, ["module", "ref"], "left").groupBy("module", "name").agg(F.array_sort(F.collect_list(F.struct("pos", to.alias("to")))).alias("rs"))
+        if not placed:
+            r = r.withColumn("rs", F.when(F.size("rs") > 1, F.raise_error(F.lit("several references of a definition need pos"))).otherwise(F.col("rs")))
         each = F.transform("rs", lambda x: F.concat(x["pos"].cast("string"), x["to"]))
         d = d.join(r, ["module", "name"], "left").select("module", "name", F.sha2(F.concat_ws("\x00", "sig", F.coalesce(each, F.array().cast("array<string>"))), 256).alias("sig"))
     first = d.groupBy("sig").agg(F.min(F.struct("module", "name")).alias("f"))

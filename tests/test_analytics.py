@@ -139,3 +139,12 @@ def test_equal_up_to_renaming(spark):
     r = spark.createDataFrame([(m, u, v) for m, u, v in (("a", "f", "g"), ("a", "g", "f"), ("b", "x", "y"), ("b", "y", "x"), ("c", "f", "g"), ("c", "g", "f"))], "module string, name string, ref string")
     got = {(x["module"], x["name"]): (x["class_module"], x["class_name"]) for x in R.dedupe_up_to_renaming(d, r).collect()}
     assert got["b", "x"] == ("a", "f") and got["b", "y"] == ("a", "g") and got["c", "f"] == ("c", "f")
+
+
+def test_several_references_need_places(spark):
+    d = spark.createDataFrame([("a", "f", "P"), ("a", "g", "P"), ("a", "p", "Q"), ("a", "q", "R")], "module string, name string, content string")
+    rows = [("a", "f", "p", 1), ("a", "f", "q", 2), ("a", "g", "q", 1), ("a", "g", "p", 2)]
+    r = spark.createDataFrame(rows, "module string, name string, ref string, pos int")
+    assert {x["name"]: x["class_name"] for x in R.dedupe_up_to_renaming(d, r).collect()} == {x: x for x in "fgpq"}
+    with pytest.raises(Exception, match="need pos"):
+        R.dedupe_up_to_renaming(d, r.drop("pos"))
