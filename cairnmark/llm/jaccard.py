@@ -8,7 +8,7 @@ their prefix shingles, pairs are filtered by size and position, then expanded to
 Two sets that link share not one but a known number of prefix shingles, which grows with their sizes: fewer, and a
 pair is dropped unseen; and a pair that must share more than it has hot shingles need not be looked for at those.
 Pairs are first tried in stars: each group of a shingle against the one whose prefix is the most common, which among
-edited copies is the one edited least. What that connects needs no further pairs: all pairs that remain between
+edited copies is the one edited least, whichever components its shingles lie in. What that connects needs no further pairs: all pairs that remain between
 different components are verified at last, where of each shingle only groups outside its largest component look for
 others. So no component is lost, and copies never make pairs by the square.
 
@@ -104,6 +104,30 @@ def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
     return source.mapInArrow(scan, kind)
 
 
+def _tokens(base: DataFrame, percent: int) -> DataFrame:
+    """(gkey, n, common, tokens, pos, m): a row for each group that has a prefix shingle in common with a group of a
+    size that it can link with, and these shingles, with their places and the numbers of their groups, as arrays.
+
+    Each place of each prefix is sent once. A shingle's groups are looked through by size: where neither the next
+    smaller nor the next larger one is near enough, none is. Linking groups keep all shingles they have in common.
+    common: the logarithms of m, summed up.
+    """
+    place = F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long"))
+    dealt = base.filter("prefix IS NOT NULL").select("gkey", "n", F.posexplode("prefix").alias("pos", "token"))
+    dealt = dealt.select("token", "gkey", place.alias("place")).repartition("token")
+    # a group comes once from each task that meets it
+    dealt = dealt.groupBy("token", "gkey").agg(F.first("place").alias("place"))
+    by_size = Window.partitionBy("token").orderBy("place")
+    every = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.shiftright("place", 32)
+    dealt = dealt.select("token", "gkey", "place", n.alias("n"), F.count(F.lit(1)).over(every).alias("m"), F.lag(n).over(by_size).alias("less"), F.lead(n).over(by_size).alias("more"))
+    near = F.coalesce(F.col("less") * 100 >= F.col("n") * percent, F.lit(False)) | F.coalesce(F.col("n") * 100 >= F.col("more") * percent, F.lit(False))
+    kept = dealt.filter(near).select("gkey", "token", "place", "m").repartition("gkey")
+    t = F.struct("token", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "m")
+    kept = kept.groupBy("gkey").agg(F.first(n).alias("n"), F.sum(F.log("m")).alias("common"), F.collect_list(t).alias("t"))
+    return kept.select("gkey", "n", "common", F.col("t.token").alias("tokens"), F.col("t.pos").alias("pos"), F.col("t.m").alias("m"))
+
+
 def set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
 
@@ -213,11 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeated rows have one set and one component; other columns are ignored; an empty table gives no rows.
     """
     base = materialize(_prefixes(docs, percent), "prefixes")
-    dealt = base.filter("prefix IS NOT NULL").select("gkey", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    # a group comes once from each task that meets it
-    dealt = dealt.groupBy("token", "gkey").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    shared = dealt.groupBy("token").agg(F.min("gkey").alias("c"), F.max("gkey").alias("d")).filter("c < d").select("token")
-    tokens = materialize(dealt.join(shared, "token", "left_semi"), "tokens")
+    tokens = materialize(_tokens(base, percent), "tokens")
     keyed = base.filter("key IS NOT NULL").groupBy("gkey", "key").agg(F.min(F.struct("doc_id", "text_md5")).alias("row"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in WORDS])
     paired = tokens.select("gkey").union(keyed.groupBy("gkey").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gkey")).distinct()
     members = materialize(keyed.join(paired, "gkey", "left_semi"), "members")
@@ -227,30 +247,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         own = materialize(members.select("gkey", "key", "n", *WORDS).join(labels, members["key"] == labels["node"]).drop("node"), "own")
         group = materialize(own.groupBy("gkey").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("least"), F.first("n").alias("n"), *[F.when(F.min("key") == F.max("key"), F.first(w)).alias(w) for w in WORDS]), "groups")
         inner = group.filter("low < high")
-        wide = tokens.join(group.select("gkey", "low", "high", "least"), "gkey")
-        spread = wide.groupBy("token").agg(F.min("low").alias("tl"), F.max("high").alias("th"), F.count(F.lit(1)).alias("m")).filter("tl < th").select("token", "m")
-        met = materialize(wide.join(spread, "token"), "apart")
+        wide = tokens.join(group.select("gkey", "low", "high"), "gkey")
+        mixed = F.col("low") != F.col("high")
         if step < STARS:
             noise = 1 + F.pmod(F.xxhash64("gkey", F.lit(step)), F.lit(1024)) / 8192
-            score = met.groupBy("gkey").agg((F.sum(F.log("m")) / F.first("n") * noise).alias("score"))
-            met = met.join(score, "gkey")
-            centre = met.groupBy("token").agg(F.max(F.struct("score", "gkey", "n", "least", "low", "high")).alias("c"))
-            met = met.join(centre, "token").filter("c.gkey <> gkey AND NOT (low = high AND c.low = c.high AND low = c.low)")
-            met = met.groupBy(F.col("c.gkey").alias("g"), F.col("gkey").alias("h")).agg(F.first("c.least").alias("a"), F.first("c.n").alias("gn"), F.first("n").alias("hn"), F.count(F.lit(1)).alias("met"))
+            met = wide.select("gkey", "n", F.when(~mixed, F.col("low")).alias("label"), (F.col("common") / F.col("n") * noise).cast("float").alias("score"), F.explode("tokens").alias("token")).repartition("token")
+            met = met.withColumn("c", F.max(F.struct("score", "gkey", "n", "label")).over(Window.partitionBy("token")))
+            met = met.filter((F.col("c.gkey") != F.col("gkey")) & ~F.coalesce(F.col("c.label") == F.col("label"), F.lit(False)))
+            met = met.groupBy(F.col("c.gkey").alias("g"), F.col("gkey").alias("h")).agg(F.first("c.n").alias("gn"), F.first("n").alias("hn"), F.count(F.lit(1)).alias("met"))
             # pairs of few common shingles wait for the last step
             gpairs = met.filter(_size_fits("gn", "hn", percent) & (2 * F.col("met") >= _common("gn", "hn", percent)))
+            gpairs = gpairs.join(group.select(F.col("gkey").alias("g"), F.col("least").alias("a")), "g")
             pairs = gpairs.select("a", F.col("h").alias("gkey")).join(own.select("gkey", F.col("key").alias("b")), "gkey").select("a", "b")
             pairs = pairs.unionByName(own.join(inner.select("gkey", F.col("least").alias("a")), "gkey").select("a", F.col("key").alias("b")))
             pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            weight = met.groupBy("low").agg(F.count(F.lit(1)).alias("weight"))
-            mixed = F.col("low") != F.col("high")
-            facts = met.groupBy("gkey").agg(F.count_if(F.col("m") > HOT).alias("hot"), F.count(F.lit(1)).alias("shared"))
-            t = met.join(facts.join(group.select("gkey", *WORDS), "gkey"), "gkey").join(small(weight), "low")
-            t = t.withColumn("rank", F.row_number().over(Window.partitionBy("gkey").orderBy((F.col("m") > HOT).cast("int"), "token")) - 1)
-            t = t.withColumn("mixed", mixed).withColumn("ord", F.struct((~mixed).cast("int").alias("a"), "weight", "low"))
-            t = t.join(t.groupBy("token").agg(F.max("ord").alias("top")), "token")
-            t = materialize(t.select("token", "m", "gkey", "n", "pos", "hot", "shared", "rank", "mixed", "ord", *WORDS, (mixed | (F.col("ord") < F.col("top"))).alias("out")), "apart")
+            weight = wide.groupBy("low").agg(F.sum(F.size("tokens")).alias("weight"))
+            order = group.select("gkey", "n", "low", mixed.alias("mixed"), *WORDS).join(small(weight), "low")
+            order = materialize(order.select("gkey", "n", "mixed", "weight", "low", *WORDS), "order")
+            at = tokens.join(order.select("gkey", "mixed", "weight", "low"), "gkey")
+            at = at.select("gkey", "mixed", "weight", "low", F.inline(F.arrays_zip("tokens", "pos", "m")).alias("token", "pos", "m")).repartition("token")
+            same = Window.partitionBy("token")
+            of = F.struct((~F.col("mixed")).cast("int").alias("a"), "weight", "low")
+            at = at.select("gkey", "token", "pos", "m", "mixed", "low", of.alias("ord"), F.max(of).over(same).alias("top"), F.min("low").over(same).alias("tl"), F.max("low").over(same).alias("th"), F.max("mixed").over(same).alias("any"))
+            at = at.filter("tl < th OR any").select("gkey", "token", "pos", "m", (F.col("mixed") | (F.col("ord") < F.col("top"))).alias("out")).repartition("gkey")
+            own_tokens = Window.partitionBy("gkey").orderBy((F.col("m") > HOT).cast("int"), "token")
+            every = own_tokens.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            at = at.withColumn("rank", F.row_number().over(own_tokens) - 1)
+            at = at.withColumn("hot", F.count_if(F.col("m") > HOT).over(every)).withColumn("shared", F.count(F.lit(1)).over(every))
+            t = materialize(at.join(order, "gkey").select("token", "m", "gkey", "n", "pos", "hot", "shared", "rank", "mixed", of.alias("ord"), *WORDS, "out"), "apart")
             gpairs = _rest(t, percent)
             gpairs = gpairs.unionByName(inner.select(F.col("gkey").alias("g"), F.col("gkey").alias("h")))
             one_side = own.select(F.col("gkey").alias("g"), F.struct("key", "label", "n", *WORDS).alias("x"))
